@@ -27,6 +27,8 @@ from spectrafdr.operators.filters import boolean_labels, labelled, require_rows
 from spectrafdr.operators.split import sample_at_most
 
 STD_FLOOR = 1e-8
+# Below this a partition model would drift too little per epoch for averaging to help.
+MIN_BATCHES_PER_TASK = 16
 
 
 # --- feature matrix ---------------------------------------------------------
@@ -241,10 +243,12 @@ class ProbabilityCalibrator:
         if self.is_fitted:
             raise ValueError("the calibrator is fitted; its feature schema is frozen")
         rows = boolean_labels(labelled(train), label)
-        # Balanced partitions, stored once: every epoch reads them again.
-        matrix = feature_matrix(rows, self.feature_columns, label)
-        matrix = scale.materialise(matrix.repartition(self._partitions(train.sparkSession)))
-        require_rows(matrix, "training requires at least one labelled row")
+        # Stored once: every epoch reads the narrow matrix again.
+        matrix = scale.materialise(feature_matrix(rows, self.feature_columns, label))
+        n_rows = matrix.count()
+        if n_rows == 0:
+            raise ValueError("training requires at least one labelled row")
+        matrix = self._spread(matrix, n_rows)
         stats = {
             r["feature"]: (r["mean"], r["std"])
             for r in standardisation(matrix, self.inputs).collect()
@@ -277,8 +281,16 @@ class ProbabilityCalibrator:
             history.final_val_loss, history.final_val_accuracy = final
         return history
 
-    def _partitions(self, spark: SparkSession) -> int:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def _spread(self, matrix: DataFrame, n_rows: int) -> DataFrame:
+        """Give every task enough minibatches to learn from, up to the cluster's parallelism."""
+        most = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wanted = max(1, min(most, n_rows // (self.batch_size * MIN_BATCHES_PER_TASK)))
+        present = matrix.rdd.getNumPartitions()
+        if wanted < present:
+            return matrix.coalesce(wanted)
+        if wanted > present:
+            return scale.materialise(matrix.repartition(wanted))
+        return matrix
 
     def _fit_relu(self, matrix, early, label, mean, std, epoch_callback) -> TrainingHistory:
         weights = init_weights([len(self.inputs), *self.hidden_dims, 1], self.seed)
@@ -495,7 +507,7 @@ def _average(parts: DataFrame) -> dict:
         F.max("t").alias("t"),
         (F.sum("loss") / F.sum("batches")).alias("loss"),
     )
-    rows = summed.orderBy("pos").toPandas()  # one row per weight
+    rows = summed.toPandas().sort_values("pos")  # one row per weight
     return {
         "w": rows["w"].to_numpy(),
         "m": rows["m"].to_numpy(),

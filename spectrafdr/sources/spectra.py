@@ -37,30 +37,52 @@ def _list_folder(spark: SparkSession, folder: str) -> list[str]:
     return sorted(r[0] for r in listing.filter(F.col("path").rlike(pattern)).collect())
 
 
-def with_row_index(df: DataFrame, name: str = "_row_index") -> DataFrame:
-    """0-based row number inside each source file, without moving rows.
+def dataset_stem(path: Column, kind: str) -> Column:
+    """Name of the data set a physical file belongs to.
 
-    A file split is one contiguous block of one task, so a row's index is its
-    offset inside the block plus the rows of the file's earlier blocks; the block
-    table has one row per split. ``df`` must still expose the file metadata as
-    ``_file`` and ``_block`` next to its rows.
+    ``/x/run1.mgf`` and every part file below a folder ``/x/run1.mgf`` are ``run1``.
     """
-    numbered = df.withColumn("_mid", F.monotonically_increasing_id())
-    blocks = numbered.groupBy("_file", "_block").agg(
-        F.count("*").alias("_n"), F.min("_mid").alias("_base")
-    )
-    earlier = (
-        Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.regexp_extract(path, rf"/([^/]+)\.{kind}(/|$)", 1)
+    return F.when(named != "", named).otherwise(file_stem(path))
+
+
+def _earlier_rows(counts: DataFrame, order: list[str]) -> DataFrame:
+    """Exclusive running count of ``_n`` inside each data set; one row per file or split."""
+    before = (
+        Window.partitionBy("_dataset").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = blocks.select(
-        "_file",
-        "_block",
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_base")).alias("_shift"),
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def number_splits(df: DataFrame, name: str) -> DataFrame:
+    """0-based row number inside each data set, without moving rows.
+
+    A file split is one contiguous block of one task, so a row's number is its
+    offset inside the block plus the rows of the earlier blocks; the block table
+    has one row per split. ``df`` carries ``_dataset, _file, _block``.
+    """
+    keys = ["_dataset", "_file", "_block"]
+    numbered = df.withColumn("_mid", F.monotonically_increasing_id())
+    blocks = numbered.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_base"))
+    shifts = _earlier_rows(blocks, ["_file", "_block"]).select(
+        *keys, (F.col("_before") - F.col("_base")).alias("_shift")
     )
     return (
-        numbered.join(F.broadcast(offsets), ["_file", "_block"])
+        numbered.join(F.broadcast(shifts), keys)
         .withColumn(name, F.col("_mid") + F.col("_shift"))
-        .drop("_mid", "_shift")
+        .drop("_mid", "_shift", "_block")
+    )
+
+
+def number_files(df: DataFrame, name: str) -> DataFrame:
+    """As ``number_splits`` for sources that know the row number inside a file (``_local``)."""
+    keys = ["_dataset", "_file"]
+    files = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    shifts = _earlier_rows(files, ["_file"]).select(*keys, "_before")
+    return (
+        df.join(F.broadcast(shifts), keys)
+        .withColumn(name, F.col("_local") + F.col("_before"))
+        .drop("_local", "_before")
     )
 
 
@@ -77,6 +99,7 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.regexp_replace("value", "\r", "").alias("text"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
+            dataset_stem(F.col("_metadata.file_path"), "mgf").alias("_dataset"),
         )
         .filter(F.col("text").contains("BEGIN IONS"))
     )
@@ -91,7 +114,7 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
     fields = F.transform(lines, lambda line: F.split(F.trim(line), r"\s+"))
     charge = F.regexp_extract(header("CHARGE"), r"(\d+)([+-]?)", 1)
     sign = F.regexp_extract(header("CHARGE"), r"(\d+)([+-]?)", 2)
-    parsed = with_row_index(blocks, "scan_number").select(
+    parsed = number_splits(blocks, "scan_number").select(
         "scan_number",
         F.split(header("PEPMASS"), r"\s+")[0].cast("double").alias("precursor_mz"),
         F.when(charge != "", charge.cast("int") * F.when(sign == "-", -1).otherwise(1)).alias(
@@ -102,7 +125,7 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
         header("TITLE").alias("title"),
         F.transform(fields, lambda f: f[0].cast("double")).alias("mz_array"),
         F.transform(fields, lambda f: f[1].cast("double")).alias("intensity_array"),
-        "_file",
+        "_dataset",
     )
     optional = ["precursor_mz", "precursor_charge", "retention_time", "sequence", "title"]
     keys = {
@@ -127,7 +150,7 @@ def scan_ipc(spark: SparkSession, paths: list[str]) -> DataFrame:
     with _open_ipc(paths[0]) as reader:
         schema = reader.schema
     out = from_arrow_schema(schema)
-    out.add("_file", T.StringType()).add("_row_index", T.LongType())
+    out.add("_file", T.StringType()).add("_local", T.LongType())
 
     def list_batches(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -150,7 +173,7 @@ def scan_ipc(spark: SparkSession, paths: list[str]) -> DataFrame:
                 table = pa.Table.from_batches([batch])
                 table = table.append_column("_file", pa.array([row["path"]] * n, pa.string()))
                 table = table.append_column(
-                    "_row_index", pa.array(range(row["start"], row["start"] + n), pa.int64())
+                    "_local", pa.array(range(row["start"], row["start"] + n), pa.int64())
                 )
                 yield from table.to_batches()
 
@@ -191,34 +214,32 @@ def scan_spectra(
         raise ValueError("title keys need .mgf spectra")
     want_ids = kind == "mgf" or add_index or row_order_ids
     if kind == "mgf":
-        df = scan_mgf(spark, paths).withColumn("_row_index", F.col("scan_number"))
+        df = scan_mgf(spark, paths)
     elif kind == "ipc":
-        df = scan_ipc(spark, paths)
+        df = scan_ipc(spark, paths).withColumn("_dataset", dataset_stem(F.col("_file"), kind))
     else:
-        raw = spark.read.parquet(*paths)
-        df = (
-            raw.select(
+        df = spark.read.parquet(*paths)
+        if want_ids:
+            df = df.select(
                 "*",
                 F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.row_index").alias("_row_index"),
+                F.col("_metadata.row_index").alias("_local"),
+                dataset_stem(F.col("_metadata.file_path"), kind).alias("_dataset"),
             )
-            if want_ids
-            else raw
-        )
     if want_ids:
-        by_title = require_titles
-        if by_title:
+        if require_titles:
             _check_titles(df)
             key = F.col("title")
-        elif row_order_ids or "scan_number" not in df.columns:
-            key = F.col("_row_index")
+        elif "scan_number" in df.columns and (kind == "mgf" or not row_order_ids):
+            key = F.col("scan_number")  # for MGF this is the row order
         else:
-            key = F.col("scan_number")
-        df = df.withColumn("experiment_name", file_stem(F.col("_file")))
+            df = number_files(df, "_number")
+            key = F.col("_number")
+        df = df.withColumn("experiment_name", F.col("_dataset"))
         df = df.withColumn(
             "spectrum_id", F.concat_ws(":", F.col("experiment_name"), key.cast("string"))
         )
-    df = df.drop("_file", "_row_index")
+    df = df.drop("_dataset", "_file", "_local", "_number")
     if kind == "mgf" and not require_titles:
         df = df.drop("title")
     return drop_empty_labels(df)
@@ -233,7 +254,7 @@ def _check_titles(df: DataFrame) -> None:
     twice = [
         r[0]
         for r in duplicate_keys(
-            df.select(F.concat_ws(":", file_stem(F.col("_file")), "title").alias("k")), "k"
+            df.select(F.concat_ws(":", "_dataset", "title").alias("k")), "k"
         )
         .limit(5)
         .collect()
