@@ -44,17 +44,24 @@ def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
         F.collect_set(size).alias("lengths")
     )
     overlap = facts["longest"] - 1
-    pieces = proteins.select("sequence").filter(F.length("sequence") > 0).select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE_LENGTH)),
-                lambda i: F.substring(
-                    F.col("sequence"),
-                    (i * PIECE_LENGTH + 1).cast("int"),
-                    F.lit(PIECE_LENGTH + overlap),
-                ),
-            )
-        ).alias("piece")
+    # Distinct pieces: copies of a protein combine on the map side, the shuffle spreads
+    # long proteins over tasks, and the position loop starts a fresh, compact stage.
+    pieces = (
+        proteins.select("sequence")
+        .filter(F.length("sequence") > 0)
+        .select(
+            F.explode(
+                F.transform(
+                    F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE_LENGTH)),
+                    lambda i: F.substring(
+                        F.col("sequence"),
+                        (i * PIECE_LENGTH + 1).cast("int"),
+                        F.lit(PIECE_LENGTH + overlap),
+                    ),
+                )
+            ).alias("piece")
+        )
+        .distinct()
     )
     at = pieces.select(
         "piece",
@@ -63,27 +70,32 @@ def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
         ).alias("pos"),
     )
     n_seeds = seeds.count()
-    if n_seeds <= MAX_SEED_ROWS:
-        probes, table = at, F.broadcast(seeds)
-        tail = lambda length: F.substring(F.col("piece"), F.col("pos"), length)
-        source = ["piece", "pos"]
-    else:
-        # Shuffled probes carry only the letters that a candidate can need.
-        probes = at.select(
-            F.substring(F.col("piece"), F.col("pos"), F.lit(facts["longest"])).alias("context")
-        )
-        table = seeds
-        tail = lambda length: F.substring(F.col("context"), F.lit(1), length)
-        source = ["context"]
     found = None
     for k in sorted(facts["seed_sizes"]):
-        keyed = probes.select(*source, tail(F.lit(k)).alias("seed")).filter(F.length("seed") == k)
-        if n_seeds > MAX_SEED_ROWS:
-            keyed = keyed.distinct()  # copies of a context collapse before the shuffle join
-        hits = keyed.join(table.filter(F.length("seed") == k), "seed").select(
-            *source, F.explode("lengths").alias("len")
-        )
-        candidates = hits.select(tail(F.col("len")).alias("peptide"), "len").filter(
+        table = seeds.filter(F.length("seed") == k)
+        seed = F.substring(F.col("piece"), F.col("pos"), F.lit(k))
+        if n_seeds <= MAX_SEED_ROWS:
+            probes = at.select("piece", "pos", seed.alias("seed")).filter(F.length("seed") == k)
+            hits = probes.join(F.broadcast(table), "seed").select(
+                "piece", "pos", F.explode("lengths").alias("len")
+            )
+            text = F.substring(F.col("piece"), F.col("pos"), F.col("len"))
+        else:
+            # Shuffled probes carry only the letters a candidate can need; copies of a
+            # context collapse, and a frequent seed is salted by its counted contexts.
+            contexts = at.select(
+                F.substring(F.col("piece"), F.col("pos"), F.lit(facts["longest"])).alias("context")
+            ).distinct()
+            probes = contexts.select(
+                "context", F.substring("context", F.lit(1), F.lit(k)).alias("seed")
+            ).filter(F.length("seed") == k)
+            weights = probes.groupBy("seed").agg(F.count("*").alias("_w"))
+            hits = scale.lookup_join(
+                probes, table.join(weights, "seed"), "seed", None, weight="_w", how="inner",
+                salt_on=["context"],
+            ).select("context", F.explode("lengths").alias("len"))
+            text = F.substring(F.col("context"), F.lit(1), F.col("len"))
+        candidates = hits.select(text.alias("peptide"), "len").filter(
             F.length("peptide") == F.col("len")
         )
         found = candidates if found is None else found.unionByName(candidates)
