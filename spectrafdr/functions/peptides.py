@@ -206,9 +206,13 @@ def is_correct(num_matches: Column, sequence: Column, prediction: Column, valid:
 def token_edit_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance over tokens divided by the longer length.
 
-    Each distinct token of the pair is encoded as one private-use character, so
-    the built-in string ``levenshtein`` does the dynamic program.
+    Unmodified peptides have one-letter tokens, so the built-in string
+    ``levenshtein`` applies to the joined letters. Otherwise each distinct token of
+    the pair is first encoded as one private-use character.
     """
+    plain = (F.length(F.array_join(left, "")) == F.size(left)) & (
+        F.length(F.array_join(right, "")) == F.size(right)
+    )
     alphabet = F.array_distinct(F.concat(left, right))
 
     def encode(tokens: Column) -> Column:
@@ -223,9 +227,10 @@ def token_edit_distance(left: Column, right: Column) -> Column:
         )
 
     longest = F.greatest(F.size(left), F.size(right))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(
-        F.levenshtein(encode(left), encode(right)) / longest
-    )
+    distance = F.when(
+        plain, F.levenshtein(F.array_join(left, ""), F.array_join(right, ""))
+    ).otherwise(F.levenshtein(encode(left), encode(right)))
+    return F.when(longest == 0, F.lit(0.0)).otherwise(distance / longest)
 
 
 def misplaced_terminal_mod(text: Column, mods: tuple[str, ...]) -> Column:

@@ -178,12 +178,11 @@ class BeamStatistics:
         z = F.get(
             F.transform(F.array(std), lambda s: F.when(s != 0, (top - _mean(p)) / s)), F.lit(0)
         )
-        a = P.leucine_to_isoleucine(
-            F.coalesce(F.get(F.col("beams"), F.lit(0))["sequence"], F.array().cast("array<string>"))
-        )
-        b = P.leucine_to_isoleucine(
-            F.coalesce(F.get(F.col("beams"), F.lit(1))["sequence"], F.array().cast("array<string>"))
-        )
+        empty = F.array().cast("array<string>")
+        for name, rank in (("_a", 0), ("_b", 1)):
+            tokens = F.coalesce(F.get(F.col("beams"), F.lit(rank))["sequence"], empty)
+            staged = staged.withColumn(name, P.leucine_to_isoleucine(tokens))
+        a, b = F.col("_a"), F.col("_b")
         comparable = (F.size(p) >= 2) & ((F.size(a) > 0) | (F.size(b) > 0))
         return staged.withColumns(
             {
@@ -193,7 +192,7 @@ class BeamStatistics:
                 "z-score": F.coalesce(z, F.lit(0.0)),
                 "edit_distance": F.when(comparable, P.token_edit_distance(a, b)).otherwise(1.0),
             }
-        ).drop("_p", "_r")
+        ).drop("_p", "_r", "_a", "_b")
 
 
 @dataclass(frozen=True)

@@ -343,7 +343,7 @@ def load_mztab(
     top = grouped.select(*columns)
     if beam_engine:
         top = top.withColumn("confidence", S.probability_from_penalised(F.col("confidence")))
-    merged = join_spectra(top, spectra, unique_predictions=True)
+    merged = join_spectra(top, spectra, unique_predictions=True, unique_by_construction=True)
     return finalise(merged, has_labels, remapping, masses)
 
 

@@ -21,11 +21,15 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1)
 
 
-def format_of(paths: list[str]) -> str:
-    kinds = {p.rstrip("/").rsplit(".", 1)[-1].lower() for p in paths}
-    if len(kinds) != 1 or not kinds <= set(FORMATS):
-        raise ValueError(f"unsupported spectrum format(s) {sorted(kinds)}; supported: {FORMATS}")
-    return kinds.pop()
+def by_format(paths: list[str]) -> dict[str, list[str]]:
+    """Paths grouped by file extension; an unknown extension is an error."""
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        groups.setdefault(path.rstrip("/").rsplit(".", 1)[-1].lower(), []).append(path)
+    unknown = sorted(set(groups) - set(FORMATS))
+    if unknown:
+        raise ValueError(f"unsupported spectrum format(s) {unknown}; supported: {FORMATS}")
+    return groups
 
 
 def _list_folder(spark: SparkSession, folder: str) -> list[str]:
@@ -209,7 +213,24 @@ def scan_spectra(
     paths = [path] if isinstance(path, str) else list(path)
     if len(paths) == 1 and not paths[0].lower().endswith(tuple("." + f for f in FORMATS)):
         paths = _list_folder(spark, paths[0]) or paths
-    kind = format_of(paths)
+    frames = [
+        _scan_format(spark, kind, files, add_index, row_order_ids, require_titles)
+        for kind, files in sorted(by_format(paths).items())
+    ]
+    df = frames[0]
+    for frame in frames[1:]:
+        df = df.unionByName(frame, allowMissingColumns=True)
+    return drop_empty_labels(df)
+
+
+def _scan_format(
+    spark: SparkSession,
+    kind: str,
+    paths: list[str],
+    add_index: bool,
+    row_order_ids: bool,
+    require_titles: bool,
+) -> DataFrame:
     if require_titles and kind != "mgf":
         raise ValueError("title keys need .mgf spectra")
     want_ids = kind == "mgf" or add_index or row_order_ids
@@ -240,9 +261,7 @@ def scan_spectra(
             "spectrum_id", F.concat_ws(":", F.col("experiment_name"), key.cast("string"))
         )
     df = df.drop("_dataset", "_file", "_local", "_number")
-    if kind == "mgf" and not require_titles:
-        df = df.drop("title")
-    return drop_empty_labels(df)
+    return df.drop("title") if kind == "mgf" and not require_titles else df
 
 
 def _check_titles(df: DataFrame) -> None:
