@@ -35,10 +35,14 @@ def has_tokens(tokens: Column) -> Column:
 
 
 def literal_map(entries: Mapping[str, object]) -> Column:
-    cells: list[Column] = []
-    for key, value in entries.items():
-        cells += [F.lit(key), F.lit(value)]
-    return F.create_map(*cells)
+    """Constant map column, parsed in one call and folded to a literal by Catalyst."""
+
+    def cell(value: object) -> str:
+        if isinstance(value, float):
+            return f"{value!r}D"
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{cell(k)}, {cell(v)}" for k, v in entries.items()) + ")")
 
 
 def tokenise(text: Column) -> Column:

@@ -463,13 +463,7 @@ class RetentionTime:
         """Attach the peptide's iRT; one peptide may cover a large share of the rows."""
         keyed = df.withColumn("_pep", P.proforma(F.col("prediction")))
         table = self.irt_table.select(F.col("peptide").alias("_pep"), F.col("irt").alias("iRT"))
-        n = table.count()
-        if n <= scale.BROADCAST_ROWS:
-            return scale.lookup_join(keyed, table, "_pep", n)
-        weights = keyed.groupBy("_pep").agg(F.count("*").alias("_w"))
-        return scale.lookup_join(
-            keyed, table.join(weights, "_pep"), "_pep", None, weight="_w", salt_on=["spectrum_id"]
-        )
+        return scale.attach(keyed, table, "_pep", salt_on=["spectrum_id"])
 
     def _prepare(self, df: DataFrame) -> DataFrame:
         require_columns(df, ["spectrum_id", "prediction", "retention_time", "confidence"])
@@ -512,15 +506,7 @@ class RetentionTime:
                 self.regressors.select(F.col("experiment_name").alias("_exp"), "slope", "intercept")
             )
         rows = self._prepare(df)
-        n_experiments = usable.count()
-        if n_experiments <= scale.BROADCAST_ROWS:
-            joined = rows.join(F.broadcast(usable), "_exp", "left")
-        else:
-            weights = rows.groupBy("_exp").agg(F.count("*").alias("_w"))
-            joined = scale.lookup_join(
-                rows, usable.join(weights, "_exp"), "_exp", None, weight="_w",
-                salt_on=["spectrum_id"],
-            )
+        joined = scale.attach(rows, usable, "_exp", salt_on=["spectrum_id"])
         valid = F.col("_ok") & F.col("slope").isNotNull()
         flagged = _missing_policy(joined, valid, "is_missing_irt_error", self.learn_from_missing)
         predicted = F.col("slope") * F.col("retention_time") + F.col("intercept")

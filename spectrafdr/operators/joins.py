@@ -41,20 +41,21 @@ def join_spectra(
     spectra: DataFrame,
     key: str = "spectrum_id",
     unique_predictions: bool = False,
-    unique_by_construction: bool = False,
+    known_unique: tuple[str, ...] = (),
 ) -> DataFrame:
     """Inner join of predictions to spectra.
 
     Spectrum keys are unique; every prediction needs a spectrum, spectra without a
     prediction are dropped. Columns that exist on both sides come from the spectra.
     Predictions of one key may be numerous: their counts per key (one narrow,
-    map-side combined pass) steer the salting of hot keys. ``unique_by_construction``
-    skips the duplicate check of predictions that were just grouped by the key.
+    map-side combined pass) steer the salting of hot keys. ``known_unique`` names
+    sides (``spectra``, ``predictions``) whose keys are unique by construction.
     """
     for frame in (predictions, spectra):
         require_columns(frame, [key])
-    check_unique(spectra, key, "spectrum")
-    if unique_predictions and not unique_by_construction:
+    if "spectra" not in known_unique:
+        check_unique(spectra, key, "spectrum")
+    if unique_predictions and "predictions" not in known_unique:
         check_unique(predictions, key, "prediction")
     check_no_orphans(predictions, spectra, key)
     clash = [c for c in predictions.columns if c in spectra.columns and c != key]

@@ -25,7 +25,8 @@ from spectrafdr.operators.filters import long_enough
 
 SEED_LENGTH = 7
 PIECE_LENGTH = 256
-MAX_SEED_ROWS = 2_000_000
+# Seeds with their length lists stay below about 100 MB when broadcast.
+MAX_SEED_ROWS = 500_000
 
 
 def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -129,14 +130,8 @@ def annotate_hits(
         keyed.select(F.col("_pep").alias("peptide")), normalised_proteins(proteins)
     )
     hits = scale.materialise(found.select(F.col("peptide").alias("_pep"), F.lit(True).alias("_hit")))
-    n_hits = hits.count()
-    if n_hits > scale.BROADCAST_ROWS:
-        weights = keyed.groupBy("_pep").agg(F.count("*").alias("_w"))
-        hits = hits.join(weights, "_pep")
     return (
-        scale.lookup_join(
-            keyed, hits, "_pep", n_hits, weight="_w" if n_hits > scale.BROADCAST_ROWS else None
-        )
+        scale.attach(keyed, hits, "_pep")
         .withColumn("proteome_hit", F.coalesce("_hit", F.lit(False)))
         .drop("_pep", "_hit")
     )

@@ -1,15 +1,18 @@
 """Building blocks that keep ordered and keyed operators off single tasks.
 
 ``materialise``     cut lineage through the cluster's checkpoint folder
+``store``           the same for wide rows, as a columnar table
 ``order_buckets``   range-partition rows into bounded, totally ordered buckets
 ``running_totals``  prefix sums over such buckets (bucket totals + local window)
 ``running_low``     running minimum over such buckets
 ``lookup_join``     equi-join against a unique-key table, safe for hot keys
+``attach``          ``lookup_join`` that measures the table and the keys itself
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +49,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As ``materialise`` for wide rows: a columnar table in the shared folder.
+
+    Later jobs read only the columns they use, e.g. one score instead of all peaks.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def order_buckets(df: DataFrame, keys: list[Column], n_rows: int) -> DataFrame:
     """Add ``_bucket`` so that bucket order follows ``keys`` order.
 
@@ -218,3 +231,26 @@ def lookup_join(
         ),
     ).drop(weight)
     return spread.join(repeated, [key, "_salt"], how).drop("_salt", "_salts")
+
+
+def attach(
+    left: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "left",
+    salt_on: list[str] | None = None,
+    table_rows: int | None = None,
+) -> DataFrame:
+    """``lookup_join`` with measured sizes.
+
+    The table is counted; if it is too large to broadcast, the rows per key of
+    ``left`` are counted as well (one narrow, map-side combined pass) to find the
+    keys that need salting.
+    """
+    n = table.count() if table_rows is None else table_rows
+    if n <= BROADCAST_ROWS:
+        return lookup_join(left, table, key, n, how=how)
+    counts = left.groupBy(key).agg(F.count("*").alias("_w"))
+    return lookup_join(
+        left, table.join(counts, key), key, None, weight="_w", how=how, salt_on=salt_on
+    )

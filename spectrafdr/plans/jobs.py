@@ -44,7 +44,7 @@ def compute_features(
     rows = usable_predictions(psms) if filter_empty else psms
     out = features(rows)
     if metadata_path or matrix_path:
-        out = scale.materialise(out)  # two sinks read it
+        out = scale.store(out)  # two sinks read it
         require_rows(out, "no spectra left after feature computation")
     if metadata_path:
         saved.save_metadata(out.drop("beams"), metadata_path)
@@ -84,7 +84,7 @@ def train(
         keyed = scale.materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
         fit_rows, val = random_split(keyed, "_id", validation_fraction, model.seed)
         return Trained(model, model.fit(fit_rows, val, id_column="_id"), None)
-    out = scale.materialise(compute_features(psms, features))
+    out = scale.store(compute_features(psms, features))
     require_labelled(out, "training")
     model = model or ProbabilityCalibrator(features.columns, **hyperparameters)
     matrix = feature_matrix_with_id(labelled(out), model.feature_columns, id_column)
@@ -116,7 +116,7 @@ def predict(
     """
     if method not in ("label_free", "label_based"):
         raise ValueError(f"unknown FDR method {method!r}")
-    scored = scale.materialise(
+    scored = scale.store(
         model.predict(compute_features(psms, features), check_empty=False)
     )
     require_rows(scored, "no spectra left after feature computation")

@@ -229,7 +229,7 @@ def is_beam_engine(raw: DataFrame) -> bool:
     named = F.lit(False)
     for marker in BEAM_ENGINE_MARKERS:
         named = named | F.col("search_engine").contains(marker)
-    return bool(raw.agg(F.max(named)).first()[0])
+    return not raw.filter(named).isEmpty()  # stops at the first match
 
 
 def shape_mztab(
@@ -343,7 +343,9 @@ def load_mztab(
     top = grouped.select(*columns)
     if beam_engine:
         top = top.withColumn("confidence", S.probability_from_penalised(F.col("confidence")))
-    merged = join_spectra(top, spectra, unique_predictions=True, unique_by_construction=True)
+    merged = join_spectra(
+        top, spectra, unique_predictions=True, known_unique=("spectra", "predictions")
+    )
     return finalise(merged, has_labels, remapping, masses)
 
 
@@ -392,6 +394,8 @@ def load_title_tsv(
     spectra, has_labels = scan_spectra(spark, spectra_path, require_titles=True)
     raw = scan_title_tsv(spark, predictions_path)
     predictions = shape_title_tsv(raw, file_stem(F.lit(spectra_path)), spectra.columns, nterm_mods)
-    merged = join_spectra(predictions, spectra, unique_predictions=True)
+    merged = join_spectra(
+        predictions, spectra, unique_predictions=True, known_unique=("spectra",)
+    )
     require_rows(merged, "the join of labels to titles produced no rows")
     return finalise(merged, has_labels, remapping, masses)

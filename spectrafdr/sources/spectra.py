@@ -14,6 +14,8 @@ from spectrafdr.operators.filters import drop_empty_labels
 from spectrafdr.operators.joins import duplicate_keys
 
 FORMATS = ("parquet", "ipc", "mgf")
+# Split tables up to this size are broadcast; a row is a path and two numbers.
+MAX_SPLITS = 200_000
 
 
 def file_stem(path: Column) -> Column:
@@ -51,11 +53,25 @@ def dataset_stem(path: Column, kind: str) -> Column:
 
 
 def _earlier_rows(counts: DataFrame, order: list[str]) -> DataFrame:
-    """Exclusive running count of ``_n`` inside each data set; one row per file or split."""
+    """Exclusive running count of ``_n`` inside each data set; one row per file or split.
+
+    Stored, so that the counting scan runs once and not with every use of the source.
+    """
     before = (
         Window.partitionBy("_dataset").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return scale.materialise(
+        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    )
+
+
+def _join_shifts(df: DataFrame, shifts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows keep their place while the counted shift table is small.
+
+    A key is one file split, so its rows fit a task even when both sides shuffle.
+    """
+    small = shifts.count() <= MAX_SPLITS
+    return df.join(F.broadcast(shifts) if small else shifts, keys)
 
 
 def number_splits(df: DataFrame, name: str) -> DataFrame:
@@ -72,7 +88,7 @@ def number_splits(df: DataFrame, name: str) -> DataFrame:
         *keys, (F.col("_before") - F.col("_base")).alias("_shift")
     )
     return (
-        numbered.join(F.broadcast(shifts), keys)
+        _join_shifts(numbered, shifts, keys)
         .withColumn(name, F.col("_mid") + F.col("_shift"))
         .drop("_mid", "_shift", "_block")
     )
@@ -84,7 +100,7 @@ def number_files(df: DataFrame, name: str) -> DataFrame:
     files = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     shifts = _earlier_rows(files, ["_file"]).select(*keys, "_before")
     return (
-        df.join(F.broadcast(shifts), keys)
+        _join_shifts(df, shifts, keys)
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_local", "_before")
     )

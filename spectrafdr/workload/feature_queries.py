@@ -15,7 +15,7 @@ from spectrafdr.functions import peptides as P
 from spectrafdr.functions import scores as S
 from spectrafdr.functions import spectra as N
 from spectrafdr.operators import features as E
-from spectrafdr.operators import filters, joins, proteome
+from spectrafdr.operators import filters, joins, proteome, scale
 from spectrafdr.operators.calibrator import ProbabilityCalibrator
 from spectrafdr.plans import jobs
 from spectrafdr.workload import views as V
@@ -448,7 +448,7 @@ def spectral_angle(spark, d):
     """Each spectrum against the first spectrum of its label."""
     rows = V.spectra(spark, d).select("vec_id", "label", "intensity_array")
     first = rows.groupBy("label").agg(F.min_by("intensity_array", "vec_id").alias("first"))
-    out = rows.join(first, "label").withColumn(
+    out = scale.attach(rows, first, "label", how="inner").withColumn(
         "angle", N.spectral_angle(F.col("first"), F.col("intensity_array"))
     )
     return out.select("vec_id", rnd("angle", digits=5))

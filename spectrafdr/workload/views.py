@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafdr.functions import peptides as P
+from spectrafdr.operators import scale
 
 # Letters with a residue mass, in table order.
 RESIDUE_LETTERS = "GASPVTCLINDQKEMHFRYWUO"
@@ -81,7 +82,8 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("l_discount * 1e1").alias("prob"),
     )
     parts = table(spark, folder, "part").select("p_partkey", letters().alias("seq"))
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).drop("l_partkey", "p_partkey")
+    named = parts.withColumnRenamed("p_partkey", "l_partkey")
+    return scale.attach(lines, named, "l_partkey", how="inner").drop("l_partkey")
 
 
 BEAM_SQL = f"""{CANDIDATE_SQL}, beam AS (
