@@ -461,9 +461,8 @@ class RetentionTime:
 
     def _with_irt(self, df: DataFrame) -> DataFrame:
         """Attach the peptide's iRT; one peptide may cover a large share of the rows."""
-        keyed = df.withColumn("_pep", P.proforma(F.col("prediction")))
         table = self.irt_table.select(F.col("peptide").alias("_pep"), F.col("irt").alias("iRT"))
-        return scale.attach(keyed, table, "_pep", salt_on=["spectrum_id"])
+        return scale.attach(df, table, "_pep", salt_on=["spectrum_id"])
 
     def _prepare(self, df: DataFrame) -> DataFrame:
         require_columns(df, ["spectrum_id", "prediction", "retention_time", "confidence"])
@@ -475,22 +474,26 @@ class RetentionTime:
         valid = model_supports(
             F.col("prediction"), self.max_peptide_length, self.unsupported_residues
         )
-        return self._with_irt(df.withColumns({"_exp": group, "_ok": valid}))
+        return df.withColumns(
+            {"_exp": group, "_ok": valid, "_pep": P.proforma(F.col("prediction"))}
+        )
 
     def fit(self, df: DataFrame) -> DataFrame:
-        """Regressors of every experiment of ``df`` that is not pinned."""
+        """Regressors of every experiment of ``df`` that is not pinned.
+
+        The top fraction is cut first, so only its rows look up their iRT.
+        """
         rows = self._prepare(df).select(
-            "_exp", "_ok", "spectrum_id", "confidence", "retention_time", "_pep", "iRT"
+            "_exp", "_ok", "spectrum_id", "confidence", "retention_time", "_pep"
         )
         if self.regressors is not None:
             pinned = self.regressors.select(F.col("experiment_name").alias("_exp"))
             rows = rows.join(pinned, "_exp", "left_anti")
-        # An experiment without any valid row keeps an (empty) entry as skipped.
         train = top_fraction(
             rows.filter("_ok"), "_exp", "confidence", "spectrum_id", self.train_fraction
         )
         fresh = fit_regressors(
-            train, "_exp", "retention_time", "iRT", "_pep", self.min_train_points
+            self._with_irt(train), "_exp", "retention_time", "iRT", "_pep", self.min_train_points
         ).withColumnRenamed("_exp", "experiment_name")
         self.fitted = scale.materialise(fresh)
         return self.fitted
@@ -505,7 +508,7 @@ class RetentionTime:
             usable = usable.unionByName(
                 self.regressors.select(F.col("experiment_name").alias("_exp"), "slope", "intercept")
             )
-        rows = self._prepare(df)
+        rows = self._with_irt(self._prepare(df))
         joined = scale.attach(rows, usable, "_exp", salt_on=["spectrum_id"])
         valid = F.col("_ok") & F.col("slope").isNotNull()
         flagged = _missing_policy(joined, valid, "is_missing_irt_error", self.learn_from_missing)

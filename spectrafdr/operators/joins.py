@@ -62,9 +62,7 @@ def join_spectra(
     predictions = predictions.drop(*clash)
     if unique_predictions:
         return predictions.join(spectra, key, "inner")
-    counts = predictions.groupBy(key).agg(F.count("*").alias("_n"))
-    weighted = spectra.join(counts, key, "inner")
-    return scale.lookup_join(predictions, weighted, key, None, weight="_n", how="inner")
+    return scale.shuffle_join(predictions, spectra, key, "inner")
 
 
 def top_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -48,16 +48,17 @@ def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     # Distinct pieces: copies of a protein combine on the map side, the shuffle spreads
     # long proteins over tasks, and the position loop starts a fresh, compact stage.
     pieces = (
-        proteins.select("sequence")
-        .filter(F.length("sequence") > 0)
-        .select(
+        proteins.select(
             F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE_LENGTH)),
-                    lambda i: F.substring(
-                        F.col("sequence"),
-                        (i * PIECE_LENGTH + 1).cast("int"),
-                        F.lit(PIECE_LENGTH + overlap),
+                F.when(
+                    F.length("sequence") > 0,  # NULL explodes to no rows
+                    F.transform(
+                        F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE_LENGTH)),
+                        lambda i: F.substring(
+                            F.col("sequence"),
+                            (i * PIECE_LENGTH + 1).cast("int"),
+                            F.lit(PIECE_LENGTH + overlap),
+                        ),
                     ),
                 )
             ).alias("piece")
@@ -90,10 +91,8 @@ def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
             probes = contexts.select(
                 "context", F.substring("context", F.lit(1), F.lit(k)).alias("seed")
             ).filter(F.length("seed") == k)
-            weights = probes.groupBy("seed").agg(F.count("*").alias("_w"))
-            hits = scale.lookup_join(
-                probes, table.join(weights, "seed"), "seed", None, weight="_w", how="inner",
-                salt_on=["context"],
+            hits = scale.shuffle_join(
+                probes, table, "seed", how="inner", salt_on=["context"]
             ).select("context", F.explode("lengths").alias("len"))
             text = F.substring(F.col("context"), F.lit(1), F.col("len"))
         candidates = hits.select(text.alias("peptide"), "len").filter(
@@ -104,10 +103,8 @@ def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
 
 
 def normalised_proteins(proteins: DataFrame) -> DataFrame:
-    """I->L, empty sequences dropped."""
-    return proteins.select(F.translate("sequence", "I", "L").alias("sequence")).filter(
-        F.length("sequence") > 0
-    )
+    """I->L; an empty sequence contributes no piece."""
+    return proteins.select(F.translate("sequence", "I", "L").alias("sequence"))
 
 
 def annotate_hits(

@@ -6,7 +6,8 @@
 ``running_totals``  prefix sums over such buckets (bucket totals + local window)
 ``running_low``     running minimum over such buckets
 ``lookup_join``     equi-join against a unique-key table, safe for hot keys
-``attach``          ``lookup_join`` that measures the table and the keys itself
+``shuffle_join``    the same for wide tables: never broadcast, hot keys measured and salted
+``attach``          counts a narrow table, then broadcasts it or uses ``shuffle_join``
 """
 
 from __future__ import annotations
@@ -211,46 +212,66 @@ def lookup_join(
         return left.join(F.broadcast(payload), key, how)
     if weight is None:
         return left.join(table, key, how)
-    salts = F.least(F.ceil(F.col(weight) / HOT_KEY_ROWS), F.lit(MAX_SALTS)).cast("int")
-    hot = table.filter(F.col(weight) >= HOT_KEY_ROWS).select(key, salts.alias("_salts"))
+    hot = table.filter(F.col(weight) >= HOT_KEY_ROWS).select(key, _salt_count(weight))
+    return _salted_join(left, table.drop(weight), key, hot, how, salt_on)
+
+
+def _salt_count(weight: str) -> Column:
+    return F.least(F.ceil(F.col(weight) / HOT_KEY_ROWS), F.lit(MAX_SALTS)).cast("int").alias("_salts")
+
+
+def _salted_join(
+    left: DataFrame,
+    table: DataFrame,
+    key: str,
+    hot: DataFrame,
+    how: str,
+    salt_on: list[str] | None,
+) -> DataFrame:
+    """One shuffle per side; only rows of ``hot`` keys (key, _salts) are spread and repeated."""
     spread_by = salt_on or [
         f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")
     ]
+    salts = F.coalesce("_salts", F.lit(1))
     spread = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_salts") > 1, F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
-        ).otherwise(0),
+        "_salt", F.when(salts > 1, F.pmod(F.xxhash64(*spread_by), salts).cast("int")).otherwise(0)
+    )
+    repeated = table.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    repeated = table.withColumn(
-        "_salt",
-        F.explode(
-            F.when(
-                F.col(weight) >= HOT_KEY_ROWS, F.sequence(F.lit(0), salts - 1)
-            ).otherwise(F.array(F.lit(0)))
-        ),
-    ).drop(weight)
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt", "_salts")
+    return spread.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
-def attach(
+def shuffle_join(
     left: DataFrame,
     table: DataFrame,
     key: str,
     how: str = "left",
     salt_on: list[str] | None = None,
-    table_rows: int | None = None,
 ) -> DataFrame:
-    """``lookup_join`` with measured sizes.
+    """Join to a wide or large table with a unique ``key``, without a forced broadcast.
 
-    The table is counted; if it is too large to broadcast, the rows per key of
-    ``left`` are counted as well (one narrow, map-side combined pass) to find the
-    keys that need salting.
+    Rows of ``left`` per key are counted (one narrow, map-side combined pass) and only
+    the hot keys are kept, at most ``rows / HOT_KEY_ROWS`` of them. Without any, this
+    is a plain join.
     """
+    counts = left.groupBy(key).agg(F.count("*").alias("_w"))
+    hot = materialise(counts.filter(F.col("_w") >= HOT_KEY_ROWS).select(key, _salt_count("_w")))
+    if hot.isEmpty():
+        return left.join(table, key, how)
+    return _salted_join(left, table, key, hot, how, salt_on)
+
+
+def attach(
+    left: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "left",
+    salt_on: list[str] | None = None,
+    table_rows: int | None = None,
+) -> DataFrame:
+    """Join to a narrow unique-key table: broadcast if its count allows, else shuffled."""
     n = table.count() if table_rows is None else table_rows
     if n <= BROADCAST_ROWS:
         return lookup_join(left, table, key, n, how=how)
-    counts = left.groupBy(key).agg(F.count("*").alias("_w"))
-    return lookup_join(
-        left, table.join(counts, key), key, None, weight="_w", how=how, salt_on=salt_on
-    )
+    return shuffle_join(left, table, key, how, salt_on)
