@@ -195,10 +195,12 @@ def residue_matches(
 
     # transform over a one-element array binds the mass lists once per row.
     bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), fold)
-    return F.when(
-        F.coalesce((F.size(sequence) > 0) & (F.size(prediction) > 0), F.lit(False)),
-        F.get(bound, F.lit(0)),
-    ).otherwise(0)
+    both = F.coalesce((F.size(sequence) > 0) & (F.size(prediction) > 0), F.lit(False))
+    return (
+        F.when(~both, F.lit(0))
+        .when(sequence == prediction, F.size(sequence))  # the common case needs no walk
+        .otherwise(F.get(bound, F.lit(0)))
+    )
 
 
 def is_correct(num_matches: Column, sequence: Column, prediction: Column, valid: Column) -> Column:

@@ -40,8 +40,16 @@ def _finite(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score)
 
 
-def _finish(points: DataFrame, n_points: int, monotone: bool) -> FdrCurve:
-    """Attach q-values and read the four scalars the look-ups need."""
+def curve_from_points(points: DataFrame, n_points: int, monotone: bool = False) -> FdrCurve:
+    """A curve from any method's ``score, n, psm_fdr, low_fdr`` rows, one per distinct score.
+
+    Attaches q-values and reads the scalars the look-ups need. A custom FDR method only
+    has to produce such rows; ``monotone`` states that FDR never falls with the score.
+    ``n_points`` bounds the rows; ``points`` may carry the ``_bucket`` of
+    ``scale.order_buckets`` in descending score order, else it is bucketed here.
+    """
+    if "_bucket" not in points.columns:
+        points = scale.order_buckets(points, [F.col("score").desc()], n_points)
     points = scale.running_low(
         points, F.col("score"), F.col("psm_fdr"), "psm_q_value", n_points
     ).select("score", "n", "psm_fdr", "low_fdr", "psm_q_value")
@@ -84,7 +92,7 @@ def fit_label_free(df: DataFrame, score: str) -> FdrCurve:
     )
     value = (F.col("_err") + error) / (F.col("_above") + F.lit(1))
     points = ranked.withColumns({"psm_fdr": value, "low_fdr": value})
-    return _finish(points, n_points, monotone=True)
+    return curve_from_points(points, n_points, monotone=True)
 
 
 def fit_label_based(
@@ -150,7 +158,7 @@ def fit_label_based(
     points = ranked.filter(F.col("_above") + F.col("n") > F.lit(drop)).withColumns(
         {"psm_fdr": at_first, "low_fdr": F.least(at_first, at_last)}
     )
-    return _finish(points, n_points, monotone=False)
+    return curve_from_points(points, n_points, monotone=False)
 
 
 def confidence_cutoff(curve: FdrCurve, threshold: float) -> float | None:

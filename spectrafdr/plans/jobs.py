@@ -69,15 +69,25 @@ def train(
     validation_fraction: float = 0.1,
     spark: SparkSession | None = None,
     id_column: str = "spectrum_id",
+    training_feature_columns: list[str] | None = None,
     **hyperparameters,
 ) -> Trained:
     """Fit a calibrator from PSM rows, or from saved feature tables.
 
     Features are computed on all rows once, before the validation split.
+    ``training_feature_columns`` narrows the model inputs to some of the feature
+    columns; a given ``model`` brings its own.
     """
+
+    def chosen(available: list[str]) -> list[str]:
+        unknown = [c for c in training_feature_columns or [] if c not in available]
+        if unknown:
+            raise ValueError(f"unknown training feature column(s) {unknown}; known: {available}")
+        return training_feature_columns or available
+
     if features_path is not None:
         rows, columns = saved.load_features(spark, features_path)
-        model = model or ProbabilityCalibrator(columns, **hyperparameters)
+        model = model or ProbabilityCalibrator(chosen(columns), **hyperparameters)
         if val_features_path is not None:
             val, _ = saved.load_features(spark, val_features_path)
             return Trained(model, model.fit(rows, val), None)
@@ -86,7 +96,7 @@ def train(
         return Trained(model, model.fit(fit_rows, val, id_column="_id"), None)
     out = scale.store(compute_features(psms, features))
     require_labelled(out, "training")
-    model = model or ProbabilityCalibrator(features.columns, **hyperparameters)
+    model = model or ProbabilityCalibrator(chosen(features.columns), **hyperparameters)
     matrix = feature_matrix_with_id(labelled(out), model.feature_columns, id_column)
     fit_rows, val = random_split(matrix, id_column, validation_fraction, model.seed)
     return Trained(model, model.fit(fit_rows, val, id_column=id_column), out)

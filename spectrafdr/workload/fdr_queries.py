@@ -8,6 +8,7 @@ from spectrafdr.operators import diagnostics, evaluation, fdr, filters, split
 from spectrafdr.operators.calibrator import feature_matrix, standardisation
 from spectrafdr.plans import jobs
 from spectrafdr.sources import saved
+from spectrafdr.streaming.scoring import static_fdr
 from spectrafdr.workload import views as V
 from spectrafdr.workload.registry import query, rnd
 
@@ -179,6 +180,25 @@ def asof_transfer(spark, d):
     return out.select("spectrum_id", rnd("psm_fdr"), rnd("psm_q_value"))
 
 
+@query(
+    "static_curve_lookup",
+    f"""WITH {V.PSM_SQL}, ranked AS (
+        SELECT *, avg(1e0 - confidence) OVER (ORDER BY confidence DESC, event_id
+                                              ROWS UNBOUNDED PRECEDING) AS run
+        FROM psm WHERE experiment_name = 'click'),
+        curve AS (SELECT confidence AS score, min(run) AS fdr FROM ranked GROUP BY 1)
+        SELECT p.spectrum_id, round(coalesce(c.fdr, 1e0), 6) AS psm_fdr
+        FROM psm p ASOF LEFT JOIN curve c ON p.confidence >= c.score""",
+)
+def static_curve_lookup(spark, d):
+    """The stateless look-up of the streaming path, on a curve of counted size."""
+    rows = V.psm(spark, d).select("spectrum_id", "experiment_name", "confidence")
+    curve = fdr.fit_label_free(rows.filter("experiment_name = 'click'"), "confidence")
+    return rows.withColumn("psm_fdr", static_fdr(F.col("confidence"), curve)).select(
+        "spectrum_id", rnd("psm_fdr")
+    )
+
+
 @query(
     "yield_at_fdr",
     f"""{LABEL_FREE}, grid(threshold) AS (VALUES {GRID_SQL}),

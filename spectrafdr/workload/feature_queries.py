@@ -232,6 +232,29 @@ def token_scores(spark, d):
     return out.select("l_orderkey", rnd("min_token_probability"), rnd("std_token_probability"))
 
 
+@query(
+    "model_support",
+    f"""WITH {V.PART_SQL} SELECT p_partkey,
+        length(seq) BETWEEN 1 AND 10 AND precursor_charge <= 3 AND NOT contains(seq, 'W') AS supported FROM pep""",
+)
+def model_support(spark, d):
+    """Which peptides a spectrum model accepts: length, charge, unsupported tokens."""
+    ok = filters.model_supports(
+        F.col("prediction"), 10, ["W"], F.col("precursor_charge"), 3
+    )
+    return V.part_peptides(spark, d).select("p_partkey", ok.alias("supported"))
+
+
+@query(
+    "missing_counts",
+    f"""WITH {V.BEAM_SQL} SELECT count(*) AS n_rows, count(*) FILTER (len(p) < 2) AS n_short_beams,
+        count(*) FILTER (l_orderkey % 5 = 0) AS n_is_missing_x FROM beam""",
+)
+def missing_counts(spark, d):
+    rows = V.beams(spark, d).withColumn("is_missing_x", F.col("l_orderkey") % 5 == 0)
+    return E.missing_counts(rows)
+
+
 # --- grouped candidates -------------------------------------------------------------
 
 

@@ -221,3 +221,12 @@ def test_label_coercion(spark):
     assert [r[0] for r in filters.boolean_labels(df, "y").collect()] == [True, False]
     with pytest.raises(Exception, match="missing values"):
         filters.boolean_labels(rows(spark, [(None,), (1.0,)], "y double"), "y").collect()
+
+
+def test_custom_method_supplies_its_own_points(spark):
+    golden = [(0.9, 0.01), (0.8, 0.02), (0.7, 0.05), (0.6, 0.1), (0.5, 0.2)]
+    points = rows(spark, [(s, 1, v, v) for s, v in golden], "score double, n bigint, psm_fdr double, low_fdr double")
+    curve = fdr.curve_from_points(points, 5)
+    out = fdr.annotate(rows(spark, [(s,) for s, _ in golden], "s double"), "s", curve)
+    assert {r["s"]: r["psm_q_value"] for r in out.collect()} == dict(golden)
+    assert fdr.confidence_cutoff(curve, 0.05) == 0.7

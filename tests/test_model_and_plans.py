@@ -267,6 +267,8 @@ def test_train_predict_diagnose(spark, tmp_path):
         features_path=str(tmp_path / "x"), spark=spark, hidden_dims=(4,), batch_size=64, max_epochs=2
     )
     assert set(two_phase.model.feature_columns) == {"sequence_length", "precursor_charge", "f", "g"}
+    with pytest.raises(ValueError, match="unknown training feature"):
+        jobs.train(rows, features, training_feature_columns=["absent"])
     with pytest.raises(ValueError, match="unknown FDR method"):
         jobs.predict(rows, trained.model, features, method="other")
 
