@@ -654,7 +654,9 @@ def _model_rows(spark, d):
 def train_predict(spark, d):
     """Train the ReLU network, score every row, estimate FDR. Rows only: SGD has no SQL."""
     rows = _model_rows(spark, d)
-    model = ProbabilityCalibrator(["user_id", "log_rt"], hidden_dims=(16, 8), max_epochs=8)
+    model = ProbabilityCalibrator(
+        ["user_id", "log_rt"], hidden_dims=(16, 8), max_epochs=6, batch_size=128, learning_rate=0.01
+    )
     train_rows, val = jobs.random_split(rows, "spectrum_id", 0.1, 42)
     model.fit(train_rows, val, id_column="spectrum_id")
     identity = E.FeatureSet()
