@@ -101,8 +101,7 @@ def ipc_scan(spark, d):
     def write(batches):
         import pyarrow as pa
         from pyarrow import fs
-
-        from spectrafdr.operators.calibrator import _partition_id
+        from pyspark import TaskContext
 
         table = list(batches)
         if not table:
@@ -110,7 +109,7 @@ def ipc_scan(spark, d):
         uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
         system, inner = fs.FileSystem.from_uri(uri)
         system.create_dir(inner, recursive=True)
-        name = f"{inner}/run{_partition_id()}.ipc"
+        name = f"{inner}/run{TaskContext.get().partitionId()}.ipc"
         with system.open_output_stream(name) as sink, pa.ipc.new_file(sink, table[0].schema) as out:
             for batch in table:
                 out.write_batch(batch)
