@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafdr.llm import common, language_id, mixing, simhash, token_counts
+from spectrafdr.llm import common, language_id, mixing, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 
@@ -31,6 +31,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, folder, "documents"))
+
+
 @_register
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.mix(common.table(spark, folder, "documents"))
