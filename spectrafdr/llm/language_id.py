@@ -171,3 +171,18 @@ def _scorer(shared):
             )
 
     return score
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text",
+                    least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language with a posterior of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LanguageModel(**shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            found = [score_text(own, texts[i].as_py()) for i in range(batch.num_rows)]
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

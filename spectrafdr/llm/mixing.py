@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrafdr.llm.common import word_count
+from spectrafdr.llm.common import WORD, word_count
 from spectrafdr.operators import scale
 
 SLOTS_HEX = 3  # 16 ** 3 slots per source
@@ -171,7 +171,8 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     whole = F.expr("_taken div _size")
     part = F.expr("_taken % _size")
     copies = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
-    cut = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), part.cast("string"), F.lit("}")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, part.cast("int"))
+    cut = F.array_join(words, " ")
     out = joined.withColumn("_copy", F.explode(copies))
     text = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(cut)
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

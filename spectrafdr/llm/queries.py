@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafdr.llm import common, language_id, mixing, simhash, suffix_dedup, token_counts
+from spectrafdr.llm import common, language_id, mixing, packing, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@_register
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(common.table(spark, folder, "documents"))
+
+
 @_register
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, folder, "documents"))

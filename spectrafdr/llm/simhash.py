@@ -300,14 +300,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     found = scale.materialise(near_duplicates(docs, doc_id, text).select("doc_id", "content", "label"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
-    chosen = found.groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.content")
-    rows = found.groupBy("doc_id", "content").agg(F.count("*").alias("_rows"))
-    same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["content"] == chosen["content"])
-    winners = scale.materialise(
-        chosen.join(rows, same).select(
-            rows["doc_id"].alias("_id"), rows["content"].alias("_content"), "_rows"
-        )
+    chosen = found.groupBy("label").agg(F.min(order).alias("best")).select(
+        F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content")
     )
+    rows = found.groupBy("doc_id", "content").agg(F.count("*").alias("_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    winners = scale.materialise(chosen.join(rows, same).select("_id", "_content", "_rows"))
     keyed = docs.withColumn("_own", F.xxhash64(text))
     kept = keyed.join(
         winners, keyed[doc_id].eqNullSafe(winners["_id"]) & (keyed["_own"] == winners["_content"])
