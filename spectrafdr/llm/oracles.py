@@ -45,3 +45,38 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(size, words % source_size - earlier)) END AS BIGINT) AS taken
 FROM placed
 """
+
+ORACLES["op5_quality_rules"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+worded AS (
+    SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM texts),
+windows AS (
+    SELECT r, i, array_to_string(w[i:i+4], ' ') AS s
+    FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM worded WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS x(k) GROUP BY r),
+measured AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+        length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS n_lower
+    FROM worded LEFT JOIN covered USING (r)),
+flags AS (
+    SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
+        + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+        + (CASE WHEN 5 * n_symbols > 2 * n_words THEN 4 ELSE 0 END)
+        + (CASE WHEN n_dup_lines > 3 AND 10 * n_dup_lines > 6 * n_lines THEN 8 ELSE 0 END)
+        + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
+        + (CASE WHEN word_chars > 30 * n_words THEN 32 ELSE 0 END)
+        + (CASE WHEN n_upper > n_lower THEN 64 ELSE 0 END) AS bits
+    FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed
+FROM flags
+"""

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafdr.llm import common, language_id, mixing, packing, simhash, suffix_dedup, token_counts
+from spectrafdr.llm import (
+    common,
+    language_id,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 
 QUERIES: dict = {}
 
@@ -36,6 +46,16 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.ledger(common.table(spark, folder, "documents"))
+    judged = quality_rules.judge(found, "v2").withColumn("base_failed", quality_rules.fails("base"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failed",
+    )
+
+
 @_register
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(common.table(spark, folder, "documents"))
@@ -53,3 +73,12 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = common.table(spark, folder, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    labels = common.table(spark, folder, "labels").filter(common.may_learn("doc_id"))
+    model = quality_classifier.fit(docs, labels, label="quality")
+    found = quality_classifier.score(docs, model)
+    return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted")
