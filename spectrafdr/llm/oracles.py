@@ -80,3 +80,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed
 FROM flags
 """
+
+ORACLES["op8_topk"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, p.vec_id,
+        CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * p.v[i])) AS BIGINT) AS score
+    FROM usable q JOIN usable p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+ranked AS (
+    SELECT query_id, vec_id, score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

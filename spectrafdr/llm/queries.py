@@ -15,6 +15,8 @@ from spectrafdr.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    topk,
+    url_filter,
 )
 
 QUERIES: dict = {}
@@ -38,6 +40,13 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(common.table(spark, folder, "documents"))
 
 
+@_register
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.table(spark, folder, "pages")
+    model = url_filter.fit(url_filter.labelled_by_rules(pages))
+    return url_filter.judge(pages, model)
+
+
 @_register
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, folder, "documents"))
@@ -67,6 +76,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_register
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = common.table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @_register
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
