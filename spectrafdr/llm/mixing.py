@@ -151,23 +151,25 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The input's rows as the mix takes them: whole repetitions, then a part.
 
     ``docs`` has the columns of ``documents`` with ``text`` and ``n_chars``; ``taken`` comes
-    from :func:`mix` of the same rows. Rows that share all of id, source and text share one
-    count of repetitions (their total), so nothing multiplies.
+    from :func:`mix` of the same rows. Rows that share all of id, source and text become one
+    row that is repeated as often as they were together.
     """
-    content = F.xxhash64(F.col("text"))
-    grouped = taken.groupBy("doc_id", "source", "content").agg(
-        F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows")
-    ).filter("_taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("content").alias("_content"),
-        "_taken", "_size",
+    grouped = scale.materialise(
+        taken.groupBy("doc_id", "source", "content")
+        .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
+        .filter("_taken > 0")
+        .withColumnsRenamed({"doc_id": "_id", "source": "_source", "content": "_content"})
     )
-    once = docs.withColumn("_content", content)
+    once = docs.withColumn("_own", F.xxhash64(F.col("text")))
     joined = once.join(
         grouped,
         once["doc_id"].eqNullSafe(grouped["_id"])
         & once["source"].cast("string").eqNullSafe(grouped["_source"])
-        & (once["_content"] == grouped["_content"]),
+        & (once["_own"] == grouped["_content"]),
     )
+    if not grouped.filter("_rows > 1").isEmpty():
+        several = joined.filter("_rows > 1").dropDuplicates(["_id", "_source", "_content"])
+        joined = joined.filter("_rows = 1").unionByName(several)
     whole = F.expr("_taken div _size")
     part = F.expr("_taken % _size")
     copies = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
