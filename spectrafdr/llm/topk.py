@@ -10,7 +10,9 @@ rows per query, which a window merges.
 
 A node splits by greedy covering with balls of half its radius; centres are further apart
 than that, every point belongs to one. A node whose cover would be nearly as many balls as
-points (no structure left), one with few points and one of equal points are leaves.
+points (no structure left), one with few points and one of equal points are leaves. The tree
+over a block of queries goes on to groups of at most ``QUERY_LEAF``: small groups have small
+radii and prune more.
 
 Ties go to the smaller id, so pairs that could only tie are still visited. All numbers are
 integers; products are exact as long as they stay below 2^53, and taken as 64-bit integers
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 ROWS_PER_SHARD = 32_768
 LEAST_SHARDS = 32
 QUERIES_PER_BLOCK = 256
-LEAF = 32
+LEAF = 64
+QUERY_LEAF = 4
 COLUMNS_AT_ONCE = 4096
 _LOW = -(1 << 62)  # below every score; its negative is a number too
 
@@ -43,8 +46,8 @@ _LOW = -(1 << 62)  # below every score; its negative is a number too
 class CoverTree:
     """Nodes as arrays: centre row, radius, children (node numbers) or rows of a leaf."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, least_share: int = 4):
+        self.points, self.leaf, self.least_share = points, leaf, least_share
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -62,7 +65,7 @@ class CoverTree:
         self.radius.append(radius)
         self.children.append([])
         self.rows.append(rows)
-        if len(rows) <= LEAF or radius == 0.0:
+        if len(rows) <= self.leaf or radius == 0.0:
             return node
         balls = self._cover(rows, centre, distances, radius / 2)
         if balls is not None:
@@ -70,12 +73,12 @@ class CoverTree:
         return node
 
     def _cover(self, rows, centre, distances, radius):
-        """Greedy balls, the node's centre first; None if they come to over a quarter of the rows."""
+        """Greedy balls, the node's centre first; None if balls have under ``least_share`` rows on average."""
         balls, near = [], distances <= radius
         balls.append((centre, rows[near]))
         left = rows[~near]
         while len(left):
-            if 4 * len(balls) > len(rows):
+            if self.least_share * len(balls) > len(rows):
                 return None
             chosen = int(left[0])
             near = self._distances(left, chosen) <= radius
@@ -101,7 +104,7 @@ class Search:
         self.visited = 0
 
     def run(self, data_tree: CoverTree | None = None) -> None:
-        own = CoverTree(self.float_queries)
+        own = CoverTree(self.float_queries, leaf=QUERY_LEAF, least_share=0)
         other = data_tree or CoverTree(self.float_data)
         if own.root < 0 or other.root < 0:
             return
