@@ -1,7 +1,8 @@
 """Connected components by repeated contraction, on DataFrames only.
 
 Every round maps each node to the smallest node next to it (a map-side combined minimum),
-follows that pointer once more, rewrites the edges and drops the loops. A path of images
+follows these pointers to their ends, rewrites the edges and drops the loops. Every end takes
+in at least one other node, so rounds and joins grow with the logarithm of the nodes only. A path of images
 stays a path, and the smallest node of a component always keeps itself, so when no edge is
 left every node's label is the smallest node of its component. The joins have one row per
 node on one side, so a node with a third of all edges is a skewed join that Spark splits.
@@ -20,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges with a null end are ignored; loops only name their node; no edges give no rows.
     """
-    given = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
+    given = materialise(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL"))
     edges = materialise(_tidy(given))
     labels = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
     labels = materialise(labels.withColumn("label", F.col("node")))
@@ -29,8 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = materialise(
             ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         )
-        second = lowest.select(F.col("u").alias("m"), F.col("m").alias("to"))
-        image = materialise(lowest.join(second, "m").select(F.col("u").alias("from"), "to"))
+        image = _roots(lowest.withColumnsRenamed({"u": "from", "m": "to"}))
         left = image.select(F.col("from").alias("u"), F.col("to").alias("_u"))
         right = image.select(F.col("from").alias("v"), F.col("to").alias("_v"))
         moved = edges.join(left, "u").join(right, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
@@ -43,6 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _roots(image: DataFrame) -> DataFrame:
+    """Follow ``from -> to`` to the end: paths halve with every join, so few joins suffice."""
+    while True:
+        onward = image.select(F.col("from").alias("to"), F.col("to").alias("_next"))
+        moved = materialise(image.join(onward, "to").select("from", F.col("_next").alias("to"), F.col("to").alias("_before")))
+        image = moved.select("from", "to")
+        if moved.filter("to <> _before").isEmpty():
+            return image
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     return (
         edges.filter("u <> v")
