@@ -19,9 +19,10 @@ from spectrafdr.constants import (
 )
 from spectrafdr.functions import peptides as P
 from spectrafdr.functions import scores as S
+from spectrafdr.operators import scale
 from spectrafdr.operators.filters import drop_where, in_range, require_columns, require_rows
-from spectrafdr.operators.joins import join_spectra
-from spectrafdr.sources.spectra import file_stem, scan_spectra
+from spectrafdr.operators.joins import check_unique, join_spectra
+from spectrafdr.sources.spectra import run_names, scan_spectra
 
 # Default column prefixes of the beam CSV; a beam index follows each prefix.
 BEAM_PREFIXES = {
@@ -287,6 +288,24 @@ def shape_mztab(
     return shaped.withColumn("prediction", F.col("prediction_untokenised"))
 
 
+def run_of(reference: Column, runs: list[str]) -> Column:
+    """Experiment of a ``spectra_ref``: ``ms_run[k]`` is the k-th of several loaded runs.
+
+    With a single run every reference means that one; otherwise a missing or unknown k fails
+    the job that reads it.
+    """
+    if len(runs) == 1:
+        return F.lit(runs[0])
+    k = F.regexp_extract(reference, r"ms_run\[(\d+)\]", 1)
+    named = F.get(F.array(*[F.lit(r) for r in runs]), F.when(k != "", k.cast("int") - 1))
+    return F.coalesce(
+        named,
+        F.raise_error(
+            F.concat(F.lit(f"{len(runs)} runs are loaded, none of them is meant by "), reference)
+        ).cast("string"),
+    )
+
+
 def candidate_rank(score: str, tie: list[str]) -> list[Column]:
     """Ascending struct order: score descending, NULL scores last, then ``tie``."""
     s = F.col(score)
@@ -314,8 +333,7 @@ def load_mztab(
     beam_engine = is_beam_engine(raw)
     if load_beams and not beam_engine:
         raise ValueError("load_beams needs an mzTab written by an engine with beam candidates")
-    stem = spectra_path if isinstance(spectra_path, str) else spectra_path[0]
-    experiment = file_stem(F.lit(stem))
+    experiment = run_of(F.col("spectra_ref"), run_names(spark, spectra_path))
     shaped = finalise(
         shape_mztab(raw, experiment, spectra.columns, beam_engine, column_mapping), False, remapping
     )
@@ -381,9 +399,17 @@ def shape_title_tsv(
     return shaped.drop(*[c for c in shaped.columns if c in spectrum_columns and c != "spectrum_id"])
 
 
+def _runs_by_title(predictions: DataFrame, spectra: DataFrame) -> DataFrame:
+    """Ids of predictions whose titles lie in several runs; a title has to name one spectrum."""
+    check_unique(spectra, "title", "titles of several runs:")
+    titles = spectra.select(F.col("title").alias("label"), F.col("spectrum_id").alias("_id"))
+    found = scale.shuffle_join(predictions, titles, "label")
+    return found.withColumn("spectrum_id", F.coalesce("_id", "label")).drop("_id")
+
+
 def load_title_tsv(
     spark: SparkSession,
-    spectra_path: str,
+    spectra_path: str | list[str],
     predictions_path: str,
     remapping: Mapping[str, str] | None = TITLE_TSV_REMAPPING,
     nterm_mods: tuple[str, ...] = TITLE_TSV_NTERM_MODS,
@@ -393,7 +419,10 @@ def load_title_tsv(
         raise ValueError("predictions_path is required")
     spectra, has_labels = scan_spectra(spark, spectra_path, require_titles=True)
     raw = scan_title_tsv(spark, predictions_path)
-    predictions = shape_title_tsv(raw, file_stem(F.lit(spectra_path)), spectra.columns, nterm_mods)
+    runs = run_names(spark, spectra_path)
+    predictions = shape_title_tsv(raw, F.lit(runs[0]), spectra.columns, nterm_mods)
+    if len(runs) > 1:
+        predictions = _runs_by_title(predictions, spectra)
     merged = join_spectra(
         predictions, spectra, unique_predictions=True, known_unique=("spectra",)
     )

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectrafdr.functions import peptides as P
+from spectrafdr.operators import scale
 from spectrafdr.operators.calibrator import numeric_feature_columns
 from spectrafdr.operators.filters import checked_peptide_columns, drop_empty_labels, require_columns
 from spectrafdr.sources.predictions import finalise
 
+# Columns of a metadata CSV that are text whatever they look like.
+TEXT_COLUMNS = (
+    "spectrum_id", "experiment_name", "title", "label", "prediction", "prediction_untokenised",
+    "sequence", "sequence_untokenised",
+)
+
 # --- scans ------------------------------------------------------------------
 
 
@@ -33,6 +40,33 @@ def numeric_list(text: Column) -> Column:
     return F.when(inner != "", F.transform(parts, lambda x: x.cast("double")))
 
 
+def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
+    """String columns that hold only numbers, or only true and false, as such; one pass.
+
+    Columns in ``skip`` and columns without any value stay as they are.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
+    if not names:
+        return df
+    checks = []
+    for i, name in enumerate(names):
+        value = F.col(f"`{name}`")
+        as_bool = F.lower(value).isin("true", "false")
+        checks += [
+            F.count(value).alias(f"n{i}"),
+            F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(value.isNotNull() & ~as_bool).alias(f"b{i}"),
+        ]
+    found = df.agg(*checks).first()
+    kinds = {}
+    for i, name in enumerate(names):
+        if found[f"n{i}"] and not found[f"b{i}"]:
+            kinds[name] = "boolean"
+        elif found[f"n{i}"] and not found[f"d{i}"]:
+            kinds[name] = "double"
+    return df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in kinds.items()})
+
+
 def load_saved(spark: SparkSession, path: str, masses=None) -> DataFrame:
     """A data set written by ``save_dataset`` (parquet), or a metadata CSV folder.
 
@@ -49,16 +83,21 @@ def load_saved(spark: SparkSession, path: str, masses=None) -> DataFrame:
             "precursor_charge": "int", "scan_number": "bigint",
         }
         raw = raw.withColumns({c: F.col(c).cast(t) for c, t in numbers.items() if c in raw.columns})
+        raw = typed_cells(raw, skip=TEXT_COLUMNS)
         df, has_labels = drop_empty_labels(raw)
         return finalise(df, has_labels, None, masses)
-    df, has_labels = drop_empty_labels(spark.read.parquet(path))
+    df, has_labels = drop_empty_labels(spark.read.option("mergeSchema", "true").parquet(path))
     return finalise(df, has_labels, None, masses)
 
 
 def load_features(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, list[str]]:
     """(rows, feature columns) of saved training matrices; files are unioned by name."""
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.parquet(*paths)
+    df = spark.read.option("mergeSchema", "true").parquet(*paths)
+    for one in paths:  # footers only
+        missing = sorted(set(df.columns) - set(spark.read.parquet(one).columns))
+        if missing:
+            raise ValueError(f"feature files differ: {one!r} has no column {missing}")
     require_columns(df, ["correct", "confidence"])
     for name in ("correct", "confidence"):
         if not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
@@ -132,7 +171,7 @@ def save_dataset(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def save_predictions(df: DataFrame, folder: str, score: str, mode: str = "error") -> None:
     """Two tables, ``metadata`` and ``preds_and_fdr_metrics``, without beams."""
-    exported = export_metadata(df.drop("beams"))
+    exported = scale.store(export_metadata(df.drop("beams")))  # computed once for two sinks
     metadata, predictions = split_outputs(exported, score)
     write_table(metadata, f"{folder}/metadata.csv", mode)
     write_table(predictions, f"{folder}/preds_and_fdr_metrics.csv", mode)

@@ -16,6 +16,16 @@ from spectrafdr.operators.joins import duplicate_keys
 FORMATS = ("parquet", "ipc", "mgf")
 # Split tables up to this size are broadcast; a row is a path and two numbers.
 MAX_SPLITS = 200_000
+# Header keys of an MGF block and the columns they fill.
+_MGF_KEYS = {
+    "PEPMASS": "precursor_mz", "CHARGE": "precursor_charge", "RTINSECONDS": "retention_time",
+    "SEQ": "sequence", "PEPTIDE_SEQUENCE": "sequence", "TITLE": "title",
+}
+
+
+def decoded(path: Column) -> Column:
+    """A file path as Spark's metadata has it (URL-encoded), with its own letters again."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def file_stem(path: Column) -> Column:
@@ -23,6 +33,20 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1)
 
 
+def run_names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Experiment names of the runs that :func:`scan_spectra` reads for ``path``, in its order."""
+    names = (p.rstrip("/").rsplit("/", 1)[-1] for p in expand_paths(spark, path))
+    return [n.rsplit(".", 1)[0] if "." in n[1:] else n for n in names]
+
+
+def expand_paths(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files and data-set folders: a folder without a known extension stands for its members."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if len(paths) == 1 and not paths[0].rstrip("/").lower().endswith(tuple("." + f for f in FORMATS)):
+        return _list_folder(spark, paths[0], FORMATS) or paths
+    return paths
+
+
 def by_format(paths: list[str]) -> dict[str, list[str]]:
     """Paths grouped by file extension; an unknown extension is an error."""
     groups: dict[str, list[str]] = {}
@@ -34,13 +58,19 @@ def by_format(paths: list[str]) -> dict[str, list[str]]:
     return groups
 
 
-def _list_folder(spark: SparkSession, folder: str) -> list[str]:
-    """Spectrum files of a folder, names only (contents are not read)."""
-    listing = (
-        spark.read.format("binaryFile").load(folder).select("path")
-    )
-    pattern = r"\.(" + "|".join(FORMATS) + r")$"
-    return sorted(r[0] for r in listing.filter(F.col("path").rlike(pattern)).collect())
+def _list_folder(spark: SparkSession, folder: str, endings: tuple[str, ...] | None) -> list[str]:
+    """Members of a folder (files or data-set folders) by extension; names only, in order.
+
+    ``None`` takes every visible file. A path that is no folder has no members.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path) or not system.getFileStatus(path).isDirectory():
+        return []
+    names = [status.getPath().toString() for status in system.listStatus(path)]
+    if endings is None:
+        return sorted(n for n in names if n.rsplit("/", 1)[-1][0] not in "._")
+    return sorted(n for n in names if n.lower().endswith(tuple("." + e for e in endings)))
 
 
 def dataset_stem(path: Column, kind: str) -> Column:
@@ -71,25 +101,27 @@ def _join_shifts(df: DataFrame, shifts: DataFrame, keys: list[str]) -> DataFrame
     A key is one file split, so its rows fit a task even when both sides shuffle.
     """
     small = shifts.count() <= MAX_SPLITS
-    return df.join(F.broadcast(shifts) if small else shifts, keys)
+    return df.join(F.broadcast(shifts) if small else shifts, keys, "left")
 
 
 def number_splits(df: DataFrame, name: str) -> DataFrame:
-    """0-based row number inside each data set, without moving rows.
+    """Stored rows of ``df`` with their 0-based number inside each data set.
 
-    A file split is one contiguous block of one task, so a row's number is its
-    offset inside the block plus the rows of the earlier blocks; the block table
-    has one row per split. ``df`` carries ``_dataset, _file, _block``.
+    A file split is one contiguous block of one task: a row's number is its offset inside
+    the block plus the rows of the earlier blocks. Rows are stored together with their block
+    and offset, and the block table is made from the stored rows, so both always agree,
+    however files are split later. ``df`` carries ``_dataset, _file, _block``.
     """
     keys = ["_dataset", "_file", "_block"]
-    numbered = df.withColumn("_mid", F.monotonically_increasing_id())
+    numbered = scale.store(df.withColumn("_mid", F.monotonically_increasing_id()))
     blocks = numbered.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_base"))
     shifts = _earlier_rows(blocks, ["_file", "_block"]).select(
         *keys, (F.col("_before") - F.col("_base")).alias("_shift")
     )
+    shift = F.coalesce("_shift", F.raise_error(F.lit("a file split has no row count")).cast("long"))
     return (
         _join_shifts(numbered, shifts, keys)
-        .withColumn(name, F.col("_mid") + F.col("_shift"))
+        .withColumn(name, F.col("_mid") + shift)
         .drop("_mid", "_shift", "_block")
     )
 
@@ -101,17 +133,38 @@ def number_files(df: DataFrame, name: str) -> DataFrame:
     shifts = _earlier_rows(files, ["_file"]).select(*keys, "_before")
     return (
         _join_shifts(df, shifts, keys)
-        .withColumn(name, F.col("_local") + F.col("_before"))
+        .withColumn(
+            name,
+            F.col("_local")
+            + F.coalesce("_before", F.raise_error(F.lit("a file has no row count")).cast("long")),
+        )
         .drop("_local", "_before")
     )
 
 
-def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
+def sort_peaks(df: DataFrame) -> DataFrame:
+    """Peaks in ascending m/z; peak matching searches in that order."""
+    if not {"mz_array", "intensity_array"} <= set(df.columns):
+        return df
+    peaks = F.array_sort(
+        F.arrays_zip(F.col("mz_array").alias("m"), F.col("intensity_array").alias("i"))
+    )
+    return df.withColumn("_peaks", peaks).withColumns(
+        {
+            "mz_array": F.transform("_peaks", lambda p: p["m"]),
+            "intensity_array": F.transform("_peaks", lambda p: p["i"]),
+        }
+    ).drop("_peaks")
+
+
+def scan_mgf(spark: SparkSession, paths: list[str], number: bool = True) -> DataFrame:
     """MGF ion blocks as rows.
 
     The text source splits files at the record delimiter, so large files are read
     by many tasks. Header columns that no block carries are left out, and an
-    all-empty label column as well. ``scan_number`` is the 0-based order in the file.
+    all-empty label column as well. ``scan_number`` is the 0-based order in the file, left
+    out without ``number``. Numbered rows are parsed once and stored; the columns to leave
+    out are then seen without reading the text again.
     """
     blocks = (
         spark.read.text(paths, lineSep="END IONS")
@@ -119,7 +172,7 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.regexp_replace("value", "\r", "").alias("text"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            dataset_stem(F.col("_metadata.file_path"), "mgf").alias("_dataset"),
+            dataset_stem(decoded(F.col("_metadata.file_path")), "mgf").alias("_dataset"),
         )
         .filter(F.col("text").contains("BEGIN IONS"))
     )
@@ -134,8 +187,7 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
     fields = F.transform(lines, lambda line: F.split(F.trim(line), r"\s+"))
     charge = F.regexp_extract(header("CHARGE"), r"(\d+)([+-]?)", 1)
     sign = F.regexp_extract(header("CHARGE"), r"(\d+)([+-]?)", 2)
-    parsed = number_splits(blocks, "scan_number").select(
-        "scan_number",
+    parsed = blocks.select(
         F.split(header("PEPMASS"), r"\s+")[0].cast("double").alias("precursor_mz"),
         F.when(charge != "", charge.cast("int") * F.when(sign == "-", -1).otherwise(1)).alias(
             "precursor_charge"
@@ -145,30 +197,45 @@ def scan_mgf(spark: SparkSession, paths: list[str]) -> DataFrame:
         header("TITLE").alias("title"),
         F.transform(fields, lambda f: f[0].cast("double")).alias("mz_array"),
         F.transform(fields, lambda f: f[1].cast("double")).alias("intensity_array"),
+        *[F.col("text").contains(f"{key}=").alias(f"_has_{key}") for key in _MGF_KEYS],
         "_dataset",
+        "_file",
+        "_block",
     )
-    optional = ["precursor_mz", "precursor_charge", "retention_time", "sequence", "title"]
-    keys = {
-        "precursor_mz": "PEPMASS=", "precursor_charge": "CHARGE=", "retention_time": "RTINSECONDS=",
-        "sequence": "SEQ", "title": "TITLE=",
-    }
-    seen = blocks.agg(
-        *[F.max(F.col("text").contains(keys[c])).alias(c) for c in optional]
-    ).first()
-    return parsed.drop(*[c for c in optional if not seen[c]])
+    parsed = sort_peaks(parsed)
+    if number:
+        parsed = number_splits(parsed, "scan_number")
+    seen = parsed.agg(*[F.max(f"_has_{key}").alias(key) for key in _MGF_KEYS]).first()
+    empty = [c for c in set(_MGF_KEYS.values()) if not any(seen[k] for k, n in _MGF_KEYS.items() if n == c)]
+    first = ["scan_number"] if number else []
+    kept = [c for c in parsed.columns if c not in (*empty, *first) and not c.startswith("_has_")]
+    return parsed.select(*first, *[c for c in kept if c not in ("_file", "_block")])
 
 
 def scan_ipc(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Arrow IPC files by record batch: one task per batch, not per file.
 
     Tasks open the file at its path (any file system Arrow knows) and decode only
-    their own batch, so a file larger than a task's memory is fine. All files
-    share the schema of the first.
+    their own batch, so a file larger than a task's memory is fine. Columns are the
+    union over all files; a file without one has NULLs there.
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    with _open_ipc(paths[0]) as reader:
-        schema = reader.schema
+    paths = [part for p in paths for part in (_list_folder(spark, p, None) or [p])]
+
+    def read_schemas(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                with _open_ipc(path) as reader:
+                    found.append(reader.schema.remove_metadata().serialize().to_pybytes())
+            yield pd.DataFrame({"schema": found})
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    kinds = files.mapInPandas(read_schemas, "schema binary").distinct().orderBy("schema").collect()
+    schema = pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(bytes(k.schema))) for k in kinds])
     out = from_arrow_schema(schema)
     out.add("_file", T.StringType()).add("_local", T.LongType())
 
@@ -191,14 +258,20 @@ def scan_ipc(spark: SparkSession, paths: list[str]) -> DataFrame:
                     batch = reader.get_batch(row["batch"])
                 n = batch.num_rows
                 table = pa.Table.from_batches([batch])
+                table = pa.table(
+                    {
+                        f.name: table.column(f.name) if f.name in table.column_names else pa.nulls(n, f.type)
+                        for f in schema
+                    },
+                    schema=schema,
+                )
                 table = table.append_column("_file", pa.array([row["path"]] * n, pa.string()))
                 table = table.append_column(
                     "_local", pa.array(range(row["start"], row["start"] + n), pa.int64())
                 )
                 yield from table.to_batches()
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    batches = files.repartition(max(1, len(paths))).mapInPandas(
+    batches = files.mapInPandas(
         list_batches, "path string, batch bigint, start bigint"
     )
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -226,9 +299,7 @@ def scan_spectra(
     numbers). ``row_order_ids`` always uses the row index; ``require_titles`` uses
     the MGF title, which then has to be present and unique.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    if len(paths) == 1 and not paths[0].lower().endswith(tuple("." + f for f in FORMATS)):
-        paths = _list_folder(spark, paths[0]) or paths
+    paths = expand_paths(spark, path)
     frames = [
         _scan_format(spark, kind, files, add_index, row_order_ids, require_titles)
         for kind, files in sorted(by_format(paths).items())
@@ -251,17 +322,19 @@ def _scan_format(
         raise ValueError("title keys need .mgf spectra")
     want_ids = kind == "mgf" or add_index or row_order_ids
     if kind == "mgf":
-        df = scan_mgf(spark, paths)
+        df = scan_mgf(spark, paths, number=not require_titles)
     elif kind == "ipc":
-        df = scan_ipc(spark, paths).withColumn("_dataset", dataset_stem(F.col("_file"), kind))
+        df = sort_peaks(scan_ipc(spark, paths))
+        df = df.withColumn("_dataset", dataset_stem(F.col("_file"), kind))
     else:
-        df = spark.read.parquet(*paths)
+        # Files of one load may differ in columns; a file without one has NULLs there.
+        df = sort_peaks(spark.read.option("mergeSchema", "true").parquet(*paths))
         if want_ids:
             df = df.select(
                 "*",
                 F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.row_index").alias("_local"),
-                dataset_stem(F.col("_metadata.file_path"), kind).alias("_dataset"),
+                dataset_stem(decoded(F.col("_metadata.file_path")), kind).alias("_dataset"),
             )
     if want_ids:
         if require_titles:

@@ -126,7 +126,7 @@ def test_beam_csv_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported prediction file"):
         predictions.load_beam_csv(spark, mgf, str(tmp_path / "x.tsv"))
     orphan = put(tmp_path / "o.csv", BEAM_CSV.replace("run:1", "run:7"))
-    with pytest.raises(ValueError, match="not present in spectra"):
+    with pytest.raises(ValueError, match="no spectrum for"):
         predictions.load_beam_csv(spark, mgf, orphan)
     with pytest.raises(ValueError, match="beam prefixes"):
         predictions.load_beam_csv(
@@ -229,3 +229,89 @@ def test_feature_files(spark, tmp_path):
     a.drop("correct").write.parquet(str(tmp_path / "g"))
     with pytest.raises(ValueError, match="missing column"):
         saved.load_features(spark, str(tmp_path / "g"))
+
+
+def _spectra(spark, n, first=0):
+    rows = [(f"t{i}", 400.0 + i, 2, 1.0 * i, [300.0, 100.0, 200.0], [3.0, 1.0, 2.0]) for i in range(first, first + n)]
+    return spark.createDataFrame(
+        rows,
+        "title string, precursor_mz double, precursor_charge int, retention_time double, "
+        "mz_array array<double>, intensity_array array<double>",
+    )
+
+
+def test_no_row_is_lost_when_the_split_size_changes(spark, tmp_path):
+    path = str(tmp_path / "run.mgf")
+    spectra.write_mgf_text(_spectra(spark, 3000).repartition(3)).write.text(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        out, _ = spectra.scan_spectra(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        found = out.select("scan_number", "spectrum_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(r.scan_number for r in found) == list(range(3000))
+    assert len({r.spectrum_id for r in found}) == 3000
+
+
+def test_peaks_come_sorted_from_every_format(spark, tmp_path):
+    rows = _spectra(spark, 3)
+    spectra.write_mgf_text(rows).write.text(str(tmp_path / "a.mgf"))
+    rows.write.parquet(str(tmp_path / "b.parquet"))
+    for name in ("a.mgf", "b.parquet"):
+        out, _ = spectra.scan_spectra(spark, str(tmp_path / name))
+        got = {(tuple(r.mz_array), tuple(r.intensity_array)) for r in out.collect()}
+        assert got == {((100.0, 200.0, 300.0), (1.0, 2.0, 3.0))}
+
+
+def test_experiment_names_keep_their_letters(spark, tmp_path):
+    for name in ("my run", "a+b%c"):
+        spectra.write_mgf_text(_spectra(spark, 2)).write.text(str(tmp_path / f"{name}.mgf"))
+    out, _ = spectra.scan_spectra(spark, str(tmp_path))
+    assert {r[0] for r in out.select("experiment_name").distinct().collect()} == {"my run", "a+b%c"}
+    assert spectra.run_names(spark, str(tmp_path)) == ["a+b%c", "my run"]
+
+
+def test_titles_of_several_runs(spark, tmp_path):
+    for k, name in enumerate(("r1", "r2")):
+        spectra.write_mgf_text(_spectra(spark, 3, 3 * k)).write.text(str(tmp_path / f"{name}.mgf"))
+    paths = [str(tmp_path / "r1.mgf"), str(tmp_path / "r2.mgf")]
+    preds = spark.createDataFrame([("t1", "AC", 0.5), ("t4", "CA", 0.7)], "label string, prediction string, score double")
+    preds.coalesce(1).write.csv(str(tmp_path / "p.tsv"), sep="\t", header=True)
+    out = predictions.load_title_tsv(spark, paths, str(tmp_path / "p.tsv"))
+    assert {r.spectrum_id for r in out.collect()} == {"r1:t1", "r2:t4"}
+
+
+def test_unknown_run_numbers_fail(spark, tmp_path):
+    frame = spark.createDataFrame([("ms_run[3]:index=1",)], "ref string")
+    with pytest.raises(Exception, match="2 runs are loaded"):
+        frame.select(predictions.run_of(F.col("ref"), ["a", "b"])).collect()
+    assert frame.select(predictions.run_of(F.col("ref"), ["only"])).first()[0] == "only"
+
+
+def test_ipc_files_with_different_columns(spark, tmp_path):
+    import pyarrow as pa
+
+    for name, table in (("a", pa.table({"scan_number": [1, 2], "extra": ["x", "y"]})), ("b", pa.table({"scan_number": [3]}))):
+        with pa.ipc.new_file(str(tmp_path / f"{name}.ipc"), table.schema) as writer:
+            writer.write_table(table)
+    out, _ = spectra.scan_spectra(spark, str(tmp_path), add_index=True)
+    assert {(r.spectrum_id, r.extra) for r in out.collect()} == {("a:1", "x"), ("a:2", "y"), ("b:3", None)}
+
+
+def test_csv_round_trip_keeps_types(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("e:1", 0.5, 1.25, True, "AC", "7"), ("e:2", 0.25, None, False, "CA", "8")],
+        "spectrum_id string, confidence double, margin double, is_missing_x boolean, prediction string, title string",
+    )
+    saved.write_table(rows, str(tmp_path / "m.csv"))
+    kinds = dict(saved.load_saved(spark, str(tmp_path / "m.csv")).dtypes)
+    assert (kinds["margin"], kinds["is_missing_x"], kinds["title"]) == ("double", "boolean", "string")
+
+
+def test_feature_files_that_differ_are_refused(spark, tmp_path):
+    one = spark.createDataFrame([(0.5, True, 1.0)], "confidence double, correct boolean, f1 double")
+    one.write.parquet(str(tmp_path / "a.parquet"))
+    one.withColumn("f2", F.lit(2.0)).write.parquet(str(tmp_path / "b.parquet"))
+    with pytest.raises(ValueError, match="f2"):
+        saved.load_features(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")])
