@@ -151,16 +151,11 @@ TITLE_TSV_NTERM_MODS: tuple[str, ...] = (
     "[+43.006]",
     "[-17.027]",
 )
-# Tokens the default spectrum / retention-time models do not support.
-UNSUPPORTED_MODEL_TOKENS: tuple[str, ...] = (
-    "[UNIMOD:5]",
-    "[UNIMOD:385]",
-    "(+25.98)",
-)
-# search_engine markers of an mzTab file that carries beam candidates and
+# search_engine markers of an mzTab file that carries beam candidates and
 # penalised scores.
 BEAM_ENGINE_MARKERS: tuple[str, ...] = ("MS:1003281", "Casanovo")
 
+# Fixed value: the least probability a logarithm is taken of.
 PROBABILITY_FLOOR = 1e-10
 
 # --- Token grammar ----------------------------------------------------------

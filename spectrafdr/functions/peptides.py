@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from spectrafdr.constants import RESIDUE_MASSES, TOKEN_PATTERN
 
 
-def is_missing(value: Column, numeric: bool = False) -> Column:
-    """NULL, or NaN for a floating point column."""
-    return (value.isNull() | F.isnan(value)) if numeric else value.isNull()
-
 
 def usable_label(value: Column, is_array: bool) -> Column:
     """TRUE when a label cell holds a non-blank string or a non-empty list."""
@@ -253,8 +249,3 @@ def spectrum_index(reference: Column) -> Column:
     """``ms_run[1]:index=12`` -> 12, NULL when it cannot be parsed."""
     digits = F.regexp_extract(reference, r"index=(\d+)", 1)
     return F.when(digits != "", digits.cast("long"))
-
-
-def ion_charge(annotation: Column) -> Column:
-    """``b1+2`` -> 2."""
-    return F.get(F.split(annotation, r"\+"), F.lit(1)).cast("int")

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from spectrafdr.constants import PROBABILITY_FLOOR
 
 
+def ranked(score: Column) -> Column:
+    """TRUE for a score that has a place in an order: neither NULL nor NaN.
+
+    Spark puts NaN above every number, so every filter, count and curve asks this first.
+    """
+    return score.isNotNull() & ~F.isnan(score.cast("double"))
+
+
+def at_least(score: Column, cutoff: float) -> Column:
+    """TRUE for a ranked score at or above ``cutoff``."""
+    return ranked(score) & (score >= F.lit(cutoff))
+
+
+def above(score: Column, cutoff: float) -> Column:
+    """TRUE for a ranked score above ``cutoff``."""
+    return ranked(score) & (score > F.lit(cutoff))
+
+
 def probability_from_log(log_prob: Column) -> Column:
     return F.exp(log_prob)
 
@@ -37,17 +55,10 @@ def posterior_error(score: Column) -> Column:
     return F.lit(1.0) - score
 
 
-def absolute_tolerance(mz: Column, tolerance: float, unit: str) -> Column:
-    """Half-width in dalton of a match window around ``mz``."""
-    if unit == "da":
-        return F.lit(float(tolerance))
-    return mz * F.lit(float(tolerance)) / F.lit(1e6)
-
-
 def check_tolerance(tolerance: float, unit: str) -> str:
     """Validated, lower-case unit."""
     if isinstance(tolerance, bool) or not isinstance(tolerance, (int, float)):
         raise ValueError(f"mz_tolerance must be a number, got {type(tolerance).__name__}")
     if not isinstance(unit, str) or unit.strip().lower() not in ("ppm", "da"):
-        raise ValueError(f"mz_tolerance_unit must be 'ppm' or 'da', got {unit!r}")
+        raise ValueError(f"unknown unit {unit!r} for mz_tolerance: use 'ppm' or 'da'")
     return unit.strip().lower()

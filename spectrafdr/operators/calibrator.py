@@ -27,8 +27,6 @@ from spectrafdr.operators.filters import boolean_labels, labelled, require_rows
 from spectrafdr.operators.split import sample_at_most
 
 STD_FLOOR = 1e-8
-# Below this a partition model would drift too little per epoch for averaging to help.
-MIN_BATCHES_PER_TASK = 16
 
 
 # --- feature matrix ---------------------------------------------------------
@@ -207,6 +205,7 @@ class ProbabilityCalibrator:
     val_early_stopping_max_psms: int | None = None
     val_subsample_seed: int | None = None
     backend: str = "relu"
+    shards: int = 4
     mean: list[float] | None = field(default=None, init=False)
     std: list[float] | None = field(default=None, init=False)
     weights: list[np.ndarray] | None = field(default=None, init=False, repr=False)
@@ -248,7 +247,7 @@ class ProbabilityCalibrator:
         n_rows = matrix.count()
         if n_rows == 0:
             raise ValueError("training requires at least one labelled row")
-        matrix = self._spread(matrix, n_rows)
+        matrix = self._spread(matrix)
         stats = {
             r["feature"]: (r["mean"], r["std"])
             for r in standardisation(matrix, self.inputs).collect()
@@ -281,16 +280,18 @@ class ProbabilityCalibrator:
             history.final_val_loss, history.final_val_accuracy = final
         return history
 
-    def _spread(self, matrix: DataFrame, n_rows: int) -> DataFrame:
-        """Give every task enough minibatches to learn from, up to the cluster's parallelism."""
-        most = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wanted = max(1, min(most, n_rows // (self.batch_size * MIN_BATCHES_PER_TASK)))
-        present = matrix.rdd.getNumPartitions()
-        if wanted < present:
-            return matrix.coalesce(wanted)
-        if wanted > present:
-            return scale.materialise(matrix.repartition(wanted))
-        return matrix
+    def _spread(self, matrix: DataFrame) -> DataFrame:
+        """Deal rows to ``shards`` tasks in one seeded order.
+
+        ``shards`` models are trained and averaged per epoch. The number is a parameter that
+        is saved with the model; rows go to shards, and stand in them, by a seeded hash of
+        their values. So neither the row count nor a session setting changes the fit.
+        """
+        key = F.xxhash64(F.lit(self.seed), *[F.col(f"`{c}`") for c in matrix.columns])
+        dealt = matrix.withColumn("_key", key)
+        shard = F.pmod("_key", F.lit(self.shards)).cast("int")
+        placed = dealt.repartitionById(self.shards, shard).sortWithinPartitions("_key")
+        return scale.materialise(placed.drop("_key"))
 
     def _fit_relu(self, matrix, early, label, mean, std, epoch_callback) -> TrainingHistory:
         weights = init_weights([len(self.inputs), *self.hidden_dims, 1], self.seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrafdr.functions.scores import ranked
 from spectrafdr.operators import scale
 
 
@@ -18,10 +19,10 @@ def precision_recall(df: DataFrame, score: str, correct: str, tie: str) -> DataF
         F.col(tie).alias("tie"),
         F.col(score).cast("double").alias("score"),
         F.col(correct).cast("boolean").cast("int").alias("hit"),
-    ).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    ).filter(ranked(F.col("score")))
     n = rows.count()
     order = [F.col("score").desc(), F.col("tie").asc()]
-    ranked = scale.running_totals(
+    placed = scale.running_totals(
         scale.order_buckets(rows, order, n),
         order,
         {"rank": F.lit(1), "hits": F.col("hit")},
@@ -29,7 +30,7 @@ def precision_recall(df: DataFrame, score: str, correct: str, tie: str) -> DataF
         inclusive=True,
     )
     precision = F.col("hits") / F.col("rank")
-    return ranked.select(
+    return placed.select(
         F.col("tie").alias(tie),
         F.col("score").alias(score),
         "rank",
@@ -44,7 +45,7 @@ def calibration_curve_width(df: DataFrame, score: str, correct: str, n_bins: int
     clipped = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
     index = F.greatest(F.ceil(clipped * F.lit(n_bins)), F.lit(1)).cast("int")
     return (
-        df.filter(F.col(score).isNotNull())
+        df.filter(ranked(F.col(score)))
         .select(
             index.alias("bin"), clipped.alias("s"), F.col(correct).cast("boolean").cast("int").alias("y")
         )
@@ -73,14 +74,14 @@ def calibration_curve_frequency(
             F.col(score).cast("double").alias("score"),
             F.col(correct).cast("boolean").cast("int").alias("y"),
         )
-        .filter(F.col("score").isNotNull() & F.col("y").isNotNull())
+        .filter(ranked(F.col("score")) & F.col("y").isNotNull())
         .groupBy("score", "y")
         .agg(F.count("*").alias("n"))
     )
     size = counts.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
     groups, total = size["groups"], size["rows"] or 0
     order = [F.col("score").asc(), F.col("y").asc()]
-    ranked = scale.running_totals(
+    placed = scale.running_totals(
         scale.order_buckets(counts, order, groups), order, {"start": F.col("n")}, groups
     )
 
@@ -91,7 +92,7 @@ def calibration_curve_frequency(
         return (F.ceil((position + 1) * F.lit(n_bins) / F.lit(max(total, 1))) - 1).cast("int")
 
     end = F.col("start") + F.col("n")
-    spread = ranked.select(
+    spread = placed.select(
         "score", "y", "start", end.alias("end"),
         F.explode(F.sequence(bin_of(F.col("start")), bin_of(end - 1))).alias("bin"),
     )

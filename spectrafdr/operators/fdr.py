@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafdr.functions.scores import posterior_error
+from spectrafdr.functions.scores import above, at_least, posterior_error, ranked
 from spectrafdr.operators import scale
 from spectrafdr.operators.filters import check_label_type, require_columns
 
@@ -36,10 +36,6 @@ class FdrCurve:
     monotone: bool
 
 
-def _finite(score: Column) -> Column:
-    return score.isNotNull() & ~F.isnan(score)
-
-
 def curve_from_points(points: DataFrame, n_points: int, monotone: bool = False) -> FdrCurve:
     """A curve from any method's ``score, n, psm_fdr, low_fdr`` rows, one per distinct score.
 
@@ -75,23 +71,23 @@ def fit_label_free(df: DataFrame, score: str) -> FdrCurve:
     """
     counts = scale.materialise(
         df.select(F.col(score).cast("double").alias("score"))
-        .filter(_finite(F.col("score")))
+        .filter(ranked(F.col("score")))
         .groupBy("score")
         .agg(F.count("*").alias("n"))
     )
     n_points = counts.count()
     if n_points == 0:
-        raise ValueError("Fit method requires non-empty data")
+        raise ValueError("no row has a score to fit a curve on")
     order = [F.col("score").desc()]
     error = F.lit(1.0) - F.col("score")
-    ranked = scale.running_totals(
+    placed = scale.running_totals(
         scale.order_buckets(counts, order, n_points),
         order,
         {"_above": F.col("n"), "_err": F.col("n") * error},
         n_points,
     )
     value = (F.col("_err") + error) / (F.col("_above") + F.lit(1))
-    points = ranked.withColumns({"psm_fdr": value, "low_fdr": value})
+    points = placed.withColumns({"psm_fdr": value, "low_fdr": value})
     return curve_from_points(points, n_points, monotone=True)
 
 
@@ -121,7 +117,7 @@ def fit_label_based(
             F.col(score).cast("double").alias("score"),
             F.col(correct).cast("boolean").cast("int").alias("hit"),
         )
-        .filter(_finite(F.col("score")))
+        .filter(ranked(F.col("score")))
         .groupBy("score")
         .agg(
             F.count("*").alias("n"),
@@ -135,14 +131,14 @@ def fit_label_based(
     if size["points"] == 0:
         raise ValueError("Fit method requires at least one labelled row")
     if size["nulls"]:
-        raise ValueError(f"Label column {correct!r} contains missing values")
+        raise ValueError(f"label {correct!r} is NULL in some row")
     if size["rows"] <= drop:
         raise ValueError(
             f"{size['rows']} labelled rows, but the first {drop} positions are dropped"
         )
     n_points = size["points"]
     order = [F.col("score").desc()]
-    ranked = scale.running_totals(
+    placed = scale.running_totals(
         scale.order_buckets(counts, order, n_points),
         order,
         {"_above": F.col("n"), "_hits": F.col("good")},
@@ -155,7 +151,7 @@ def fit_label_based(
     )
     at_first = F.lit(1.0) - hits_at_first / (first + 1)
     at_last = F.lit(1.0) - (F.col("_hits") + F.col("good")) / (F.col("_above") + F.col("n"))
-    points = ranked.filter(F.col("_above") + F.col("n") > F.lit(drop)).withColumns(
+    points = placed.filter(F.col("_above") + F.col("n") > F.lit(drop)).withColumns(
         {"psm_fdr": at_first, "low_fdr": F.least(at_first, at_last)}
     )
     return curve_from_points(points, n_points, monotone=False)
@@ -232,7 +228,7 @@ def yield_at(df: DataFrame, score: str, cutoffs: DataFrame) -> DataFrame:
     targets = [(r["threshold"], r["cutoff"]) for r in cutoffs.collect()]  # one row per target
     counts = df.agg(
         *[
-            (F.count_if(F.col(score) >= F.lit(c)) if c is not None else F.lit(0).cast("bigint")).alias(
+            (F.count_if(at_least(F.col(score), c)) if c is not None else F.lit(0).cast("bigint")).alias(
                 f"n{i}"
             )
             for i, (_, c) in enumerate(targets)
@@ -264,7 +260,7 @@ def score_table(df: DataFrame, score: str, curve: FdrCurve) -> tuple[DataFrame,
     """
     probe = (
         df.select(F.col(score).cast("double").alias("score"))
-        .filter(_finite(F.col("score")))
+        .filter(ranked(F.col("score")))
         .groupBy("score")
         .agg(F.count("*").alias("n"))
     )
@@ -322,7 +318,7 @@ def add_pep(df: DataFrame, score: str) -> DataFrame:
 
 def filter_above(df: DataFrame, score: str, cutoff: float | None) -> DataFrame:
     """Library filter: scores strictly above the cut-off; nothing without one."""
-    return df.filter(F.col(score) > F.lit(cutoff)) if cutoff is not None else df.limit(0)
+    return df.filter(above(F.col(score), cutoff)) if cutoff is not None else df.limit(0)
 
 
 def filter_at(
@@ -331,7 +327,7 @@ def filter_at(
     """Pipeline filter: scores at or above the cut-off."""
     if cutoff is None:
         return df if keep_all_without_cutoff else df.limit(0)
-    return df.filter(F.col(score) >= F.lit(cutoff))
+    return df.filter(at_least(F.col(score), cutoff))
 
 
 def control_fdr(

@@ -412,10 +412,12 @@ def fit_regressors(
 
     Sums for the regression combine on the map side, so a dominant group is fine.
     """
+    # Only rows with both values take part in a regression, so only they are counted.
+    usable = F.col(rt).isNotNull() & F.col(irt).isNotNull()
     fitted = train.groupBy(group).agg(
-        F.count("*").alias("n_train"),
-        F.countDistinct(peptide).alias("n_peptides"),
-        (F.min(rt) < F.max(rt)).alias("_rt_varies"),
+        F.count_if(usable).alias("n_train"),
+        F.countDistinct(F.when(usable, F.col(peptide))).alias("n_peptides"),
+        (F.min(F.when(usable, F.col(rt))) < F.max(F.when(usable, F.col(rt)))).alias("_rt_varies"),
         F.regr_slope(irt, rt).alias("slope"),
         F.regr_intercept(irt, rt).alias("intercept"),
     )
@@ -498,16 +500,23 @@ class RetentionTime:
         self.fitted = scale.materialise(fresh)
         return self.fitted
 
+    def _has_global(self) -> bool:
+        """Whether rows without experiments already have their regressor, which then stays."""
+        known = [t for t in (self.fitted, self.regressors) if t is not None]
+        is_global = F.col("experiment_name") == GLOBAL_EXPERIMENT
+        return any(not t.filter(is_global).isEmpty() for t in known)
+
     def __call__(self, df: DataFrame) -> DataFrame:
-        if self.fitted is None or self.regressors is None or "experiment_name" in df.columns:
+        if "experiment_name" in df.columns or not self._has_global():
             self.fit(df)
-        usable = self.fitted.filter(F.col("status").startswith("ok")).select(
-            F.col("experiment_name").alias("_exp"), "slope", "intercept"
-        )
-        if self.regressors is not None:
-            usable = usable.unionByName(
-                self.regressors.select(F.col("experiment_name").alias("_exp"), "slope", "intercept")
-            )
+        usable = None
+        for table in (self.fitted, self.regressors):
+            if table is None:
+                continue
+            if "status" in table.columns:
+                table = table.filter(F.col("status").startswith("ok"))
+            table = table.select(F.col("experiment_name").alias("_exp"), "slope", "intercept")
+            usable = table if usable is None else usable.unionByName(table)
         rows = self._with_irt(self._prepare(df))
         joined = scale.attach(rows, usable, "_exp", salt_on=["spectrum_id"])
         valid = F.col("_ok") & F.col("slope").isNotNull()

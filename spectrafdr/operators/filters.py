@@ -25,7 +25,7 @@ def check_label_type(df: DataFrame, column: str) -> None:
     kind = df.schema[column].dataType
     if not isinstance(kind, (T.BooleanType, T.NumericType)):
         raise ValueError(
-            f"Label column {column!r} must be boolean or numeric, got {kind.simpleString()}"
+            f"cannot use {column!r} of type {kind.simpleString()} as a label: boolean or number wanted"
         )
 
 
@@ -37,7 +37,7 @@ def boolean_labels(df: DataFrame, column: str) -> DataFrame:
         column,
         F.coalesce(
             value,
-            F.raise_error(F.lit(f"Label column {column!r} contains missing values")).cast(
+            F.raise_error(F.lit(f"label {column!r} is NULL in some row")).cast(
                 "boolean"
             ),
         ),
@@ -77,7 +77,7 @@ def labelled(df: DataFrame) -> DataFrame:
 
 def require_labelled(df: DataFrame, context: str) -> DataFrame:
     rows = labelled(df)
-    require_rows(rows, f"{context} requires at least one row with valid_sequence=True")
+    require_rows(rows, f"{context}: no row has a valid sequence")
     return rows
 
 
@@ -137,15 +137,6 @@ def in_range(df: DataFrame, column: str, low: float, high: float, what: str) ->
     )
 
 
-def tail(df: DataFrame, score: str, cutoff: float, min_rows: int = 1) -> DataFrame:
-    """Rows at or above ``cutoff``; an error when there are fewer than ``min_rows``."""
-    rows = df.filter(F.col(score) >= F.lit(cutoff))
-    n = rows.count()
-    if n < min_rows:
-        raise ValueError(f"Only {n} PSMs in the tail (score >= {cutoff:.4f}); need {min_rows}")
-    return rows
-
-
 def long_enough(df: DataFrame, min_tokens: int = 7) -> DataFrame:
     is_array = isinstance(df.schema["prediction"].dataType, T.ArrayType)
     return df.filter(P.residue_count(F.col("prediction"), is_array) >= min_tokens)

@@ -33,7 +33,7 @@ def check_unique(df: DataFrame, key: str, what: str) -> None:
 def check_no_orphans(predictions: DataFrame, spectra: DataFrame, key: str) -> None:
     bad = _first_values(orphan_keys(predictions, spectra, key), key)
     if bad:
-        raise ValueError(f"predictions reference {key} values not present in spectra: {bad}")
+        raise ValueError(f"no spectrum for {key} of these predictions: {bad}")
 
 
 def join_spectra(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows one window task may order. Tables up to this size need no range exchange.
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 2_000_000
 # Largest row count of a table that may be broadcast (narrow, numeric rows).
 BROADCAST_ROWS = 1_000_000
 # A key with at least this many rows is split over several tasks in a join.

@@ -160,6 +160,7 @@ def diagnose(
 ) -> DataFrame:
     """Tail calibration at the label-free cut-off of the same labelled rows."""
     rows, label = diagnostics.resolve_labels(scored, label_source, label_column)
+    rows = scale.materialise(rows.select(score, label))  # read by the curve, the cut-off and the tail
     curve = fdr.fit_label_free(rows, score)
     cutoff = fdr.confidence_cutoff(curve, threshold)
     if cutoff is None:

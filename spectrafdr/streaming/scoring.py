@@ -9,25 +9,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrafdr.functions.scores import at_least, ranked
 from spectrafdr.operators import scale
 from spectrafdr.operators.calibrator import ProbabilityCalibrator
 from spectrafdr.operators.fdr import FdrCurve, add_pep
 
+# Points a part of a large static curve holds, and the most parts (cuts travel with the plan).
+POINTS_PER_PART = 512
+MAX_PARTS = 16_384
+
 
 def static_fdr(score: Column, curve: FdrCurve) -> Column:
     """FDR of the highest fitted score that is not above ``score``; 1.0 below the range.
 
-    The curve travels to the tasks as two sorted arrays, so its counted size is
-    checked; a larger curve needs the batch look-up.
+    The curve travels to the tasks as two sorted arrays, so this is for curves of at most
+    ``scale.BROADCAST_ROWS`` points; :func:`with_static_fdr` takes any size.
     """
-    if curve.n_points > scale.BROADCAST_ROWS:
-        raise ValueError(
-            f"a curve of {curve.n_points} points is too large for the streaming look-up "
-            f"(limit {scale.BROADCAST_ROWS}); annotate in batches instead"
-        )
     points = curve.points.select("score", "psm_fdr").toPandas().sort_values("score")
     spark = curve.points.sparkSession
     shared = spark.sparkContext.broadcast(
@@ -43,6 +44,43 @@ def static_fdr(score: Column, curve: FdrCurve) -> Column:
     return look_up(score)
 
 
+def with_static_fdr(rows: DataFrame, score: str, curve: FdrCurve) -> DataFrame:
+    """Add ``psm_fdr`` by a static curve of any size, to a table or a stream.
+
+    A larger curve is cut at its quantiles into parts; a row finds its part by binary search
+    over the cuts, joins that part, and looks inside it. Results are the same.
+    """
+    if curve.n_points <= scale.BROADCAST_ROWS:
+        return rows.withColumn("psm_fdr", static_fdr(F.col(score), curve))
+    n_parts = max(2, min(MAX_PARTS, curve.n_points // POINTS_PER_PART))
+    cuts = sorted(set(curve.points.approxQuantile("score", [i / n_parts for i in range(1, n_parts)], 0.2 / n_parts)))
+    splits = [float("-inf"), *cuts, float("inf")]
+
+    def part_of(df: DataFrame, column: str) -> DataFrame:
+        cutter = Bucketizer(splits=splits, inputCol=column, outputCol="_part", handleInvalid="keep")
+        return cutter.transform(df)
+
+    spark = curve.points.sparkSession
+    points = part_of(curve.points.select("score", "psm_fdr"), "score")
+    lists = points.groupBy("_part").agg(
+        F.array_sort(F.collect_list(F.struct("score", "psm_fdr"))).alias("_points"),
+        F.max_by("psm_fdr", "score").alias("_top"),
+    )
+    every = spark.range(len(splits) - 1).select(F.col("id").cast("double").alias("_part"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = scale.materialise(
+        every.join(lists, "_part", "left").withColumn(
+            "_before", F.last("_top", ignorenulls=True).over(earlier)
+        ).drop("_top")
+    )
+    placed = part_of(rows.withColumn("_score", F.col(score).cast("double")), "_score")
+    joined = placed.join(parts, "_part", "left")
+    at = F.size(F.filter("_points", lambda p: p["score"] <= F.col("_score")))
+    inside = F.when(at > 0, F.get("_points", at - 1)["psm_fdr"])
+    found = F.when(ranked(F.col("_score")), F.coalesce(inside, "_before", F.lit(1.0)))
+    return joined.withColumn("psm_fdr", found).drop("_part", "_score", "_points", "_before")
+
+
 def score_stream(
     rows: DataFrame,
     model: ProbabilityCalibrator,
@@ -53,5 +91,5 @@ def score_stream(
 ) -> DataFrame:
     """Features, calibrated confidence, ``psm_fdr`` and ``psm_pep``; kept at ``cutoff``."""
     scored = model.predict(features(rows), check_empty=False)
-    out = add_pep(scored.withColumn("psm_fdr", static_fdr(F.col(score), curve)), score)
-    return out.filter(F.col(score) >= F.lit(cutoff)) if cutoff is not None else out
+    out = add_pep(with_static_fdr(scored, score, curve), score)
+    return out.filter(at_least(F.col(score), cutoff)) if cutoff is not None else out
