@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from spectrafdr.workload import fdr_queries, feature_queries, source_queries  # noqa: F401
+from spectrafdr.workload import fdr_queries, feature_queries, robust_queries, source_queries  # noqa: F401
 from spectrafdr.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from spectrafdr.operators import diagnostics, evaluation, fdr, filters, split
 from spectrafdr.operators.calibrator import feature_matrix, standardisation
 from spectrafdr.plans import jobs
 from spectrafdr.sources import saved
-from spectrafdr.streaming.scoring import static_fdr
+from spectrafdr.streaming.scoring import with_static_fdr
 from spectrafdr.workload import views as V
 from spectrafdr.workload.registry import query, rnd
 
@@ -191,10 +191,10 @@ def asof_transfer(spark, d):
         FROM psm p ASOF LEFT JOIN curve c ON p.confidence >= c.score""",
 )
 def static_curve_lookup(spark, d):
-    """The stateless look-up of the streaming path, on a curve of counted size."""
+    """The stateless look-up of the streaming path."""
     rows = V.psm(spark, d).select("spectrum_id", "experiment_name", "confidence")
     curve = fdr.fit_label_free(rows.filter("experiment_name = 'click'"), "confidence")
-    return rows.withColumn("psm_fdr", static_fdr(F.col("confidence"), curve)).select(
+    return with_static_fdr(rows, "confidence", curve).select(
         "spectrum_id", rnd("psm_fdr")
     )
 

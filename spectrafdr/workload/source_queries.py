@@ -127,8 +127,6 @@ def ipc_scan(spark, d):
 
 # --- beam CSV -----------------------------------------------------------------------------
 
-_BEAM_WIDTH = 3
-
 
 def _label(column: str) -> str:
     return f"CASE WHEN l_orderkey % 2 = 0 THEN {column} ELSE reverse({column}) END"
@@ -138,7 +136,7 @@ def _label(column: str) -> str:
     "beam_csv_load",
     f"""WITH {V.BEAM_SQL}, x AS (SELECT *, {_label('s[1]')} AS lab FROM beam)
         SELECT concat('o:', l_orderkey) AS spectrum_id, round(p[1], 6) AS confidence,
-          replace(s[1], 'L', 'I') AS prediction, least(len(p), {_BEAM_WIDTH}) AS n_beams,
+          replace(s[1], 'L', 'I') AS prediction, len(p) AS n_beams,
           round(p[2], 6) AS second, replace(s[2], 'L', 'I') AS second_sequence,
           replace(s[1], 'L', 'I') = replace(lab, 'L', 'I') AS same
         FROM x""",
@@ -162,7 +160,8 @@ def beam_csv_load(spark, d):
         F.array_join(F.get("beams", F.lit(0))["sequence"], ", ").alias("predictions_tokenised"),
         F.get("beams", F.lit(0))["log_prob"].alias("log_probs"),
     ]
-    for i in range(_BEAM_WIDTH):
+    width = rows.agg(F.max(F.size("beams"))).first()[0] or 0
+    for i in range(width):
         beam = F.get("beams", F.lit(i))
         wide += [
             F.array_join(beam["sequence"], "").alias(f"predictions_beam_{i}"),

@@ -43,6 +43,23 @@ def psm(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").selectExpr(*parts)
 
 
+# --- the same with NaN and NULL scores; ``sound`` are the rows whose score can be ranked --------
+
+GAPS_SQL = f"""{PSM_SQL}, gaps AS (
+  SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN 'nan'::double
+                         WHEN event_id % 13 = 0 THEN NULL ELSE confidence END AS confidence) FROM psm),
+sound AS (SELECT * FROM gaps WHERE confidence IS NOT NULL AND NOT isnan(confidence))"""
+
+
+def psm_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    score = (
+        F.when(F.col("event_id") % 11 == 0, F.lit(float("nan")))
+        .when(F.col("event_id") % 13 == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("confidence"))
+    )
+    return psm(spark, folder).withColumn("confidence", score)
+
+
 # --- labelled documents: NULL label where no label row exists -----------------
 
 DOC_SQL = """doc AS (
@@ -199,9 +216,9 @@ PEPTIDE_SQL = f"""stripped AS (
 pept AS (
   SELECT item_id, 0 AS k, 0 AS pos, t AS pep FROM stripped
   UNION ALL SELECT item_id, 9, j, substr(t, cast(j * 9 + 1 AS bigint), 9)
-    FROM stripped, generate_series(0, 100) g(j) WHERE (j + 1) * 9 <= length(t)
+    FROM (SELECT item_id, t, unnest(range(0, length(t) // 9)) AS j FROM stripped)
   UNION ALL SELECT item_id, 30, j, substr(t, cast(j * 30 + 1 AS bigint), 30)
-    FROM stripped, generate_series(0, 30) g(j) WHERE (j + 1) * 30 <= length(t))"""
+    FROM (SELECT item_id, t, unnest(range(0, length(t) // 30)) AS j FROM stripped))"""
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:
