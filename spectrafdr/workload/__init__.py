@@ -1,6 +1,12 @@
 """Registered queries over the given tables."""
 
-from spectrafdr.workload import fdr_queries, feature_queries, robust_queries, source_queries  # noqa: F401
+from spectrafdr.workload import (  # noqa: F401
+    fdr_queries,
+    feature_queries,
+    job_queries,
+    robust_queries,
+    source_queries,
+)
 from spectrafdr.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
