@@ -50,6 +50,9 @@ CONTEXT = SEED + 2 * SIDE
 GROUP_BYTES = 8_000_000
 SUFFIXES_PER_BUCKET = 500_000
 LEAST_PARTS = 64
+# Beyond this many groups and buckets they grow instead: a message between a group and a
+# bucket then still holds some forty suffixes at 100 TB (groups of 250 MB).
+MOST_PARTS = 400_000
 SAMPLE_BYTES = 8_000_000
 SLICE_BYTES = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -529,8 +532,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_groups = max(LEAST_PARTS, -(-total // GROUP_BYTES))
-    n_buckets = max(LEAST_PARTS, total // (SUFFIXES_PER_BUCKET * 16))
+    n_groups = min(MOST_PARTS, max(LEAST_PARTS, -(-total // GROUP_BYTES)))
+    n_buckets = min(MOST_PARTS, max(LEAST_PARTS, total // (SUFFIXES_PER_BUCKET * 16)))
     place = F.xxhash64("doc_id", "text")
     share = max(1, total // SAMPLE_BYTES)
     leads = _sample_leads(rows.filter(F.pmod(F.shiftright(place, 20), F.lit(share)) == 0))
