@@ -3,7 +3,7 @@
 A theta join on "contains" would compare every pair. Instead:
 
 1. distinct peptides give distinct (seed, length) pairs, the seed being the first
-   ``min(7, length)`` letters; lengths are grouped per seed;
+   ``min(7, length)`` letters; lengths are grouped per seed, in classes of length;
 2. proteins are cut into short overlapping pieces, every position of a piece is
    probed with its seed, and a position with a known seed emits one substring per
    wanted length - never one row per peptide sharing the seed;
@@ -25,81 +25,81 @@ from spectrafdr.operators.filters import long_enough
 
 SEED_LENGTH = 7
 PIECE_LENGTH = 256
+# Peptides are looked up in length classes (powers of two), pieces being twice as long as the
+# longest of the class: one very long peptide does not lengthen the pieces of all others.
+SHORTEST_CLASS = 64
 # Seeds with their length lists stay below about 100 MB when broadcast.
 MAX_SEED_ROWS = 500_000
 
 
 def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     """Distinct ``peptide`` values that are substrings of any ``sequence``."""
+    size = F.length("peptide")
+    # Powers of two from SHORTEST_CLASS on.
+    length_class = F.greatest(F.lit(SHORTEST_CLASS), F.pow(F.lit(2.0), F.ceil(F.log2(size))).cast("int"))
     distinct = scale.materialise(
-        peptides.select("peptide").filter(F.length("peptide") > 0).distinct()
+        peptides.select("peptide").filter(size > 0).distinct().withColumn("_class", length_class)
     )
+    classes = distinct.groupBy("_class").agg(
+        F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(SEED_LENGTH))).alias("seed_sizes")
+    ).orderBy("_class").collect()  # one row per power of two
+    found = None
+    for c in classes:
+        own = distinct.filter(F.col("_class") == c["_class"]).select("peptide")
+        hits = _candidates(own, proteins, c["longest"], sorted(c["seed_sizes"]))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return distinct.select("peptide")
+    return distinct.select("peptide").join(found.distinct(), "peptide", "left_semi")
+
+
+def _candidates(
+    distinct: DataFrame, proteins: DataFrame, longest: int, seed_sizes: list[int]
+) -> DataFrame:
+    """Substrings (column ``peptide``) at the seeds of peptides of one length class."""
     size = F.length("peptide")
-    seed_size = F.least(size, F.lit(SEED_LENGTH))
-    facts = distinct.agg(
-        F.max(size).alias("longest"), F.collect_set(seed_size).alias("seed_sizes")
-    ).first()  # at most SEED_LENGTH values and one number
-    if facts["longest"] is None:
-        return distinct
-    seeds = distinct.groupBy(F.substring("peptide", F.lit(1), seed_size).alias("seed")).agg(
-        F.collect_set(size).alias("lengths")
-    )
-    overlap = facts["longest"] - 1
+    seeds = distinct.groupBy(
+        F.substring("peptide", F.lit(1), F.least(size, F.lit(SEED_LENGTH))).alias("seed")
+    ).agg(F.collect_set(size).alias("lengths"))
+    step = max(PIECE_LENGTH, 2 * longest)
     # Distinct pieces: copies of a protein combine on the map side, the shuffle spreads
     # long proteins over tasks, and the position loop starts a fresh, compact stage.
-    pieces = (
-        proteins.select(
-            F.explode(
-                F.when(
-                    F.length("sequence") > 0,  # NULL explodes to no rows
-                    F.transform(
-                        F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE_LENGTH)),
-                        lambda i: F.substring(
-                            F.col("sequence"),
-                            (i * PIECE_LENGTH + 1).cast("int"),
-                            F.lit(PIECE_LENGTH + overlap),
-                        ),
-                    ),
-                )
-            ).alias("piece")
-        )
-        .distinct()
-    )
-    at = pieces.select(
-        "piece",
+    pieces = proteins.select(
         F.explode(
-            F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE_LENGTH)))
-        ).alias("pos"),
-    )
-    n_seeds = seeds.count()
+            F.when(
+                F.length("sequence") > 0,  # NULL explodes to no rows
+                F.transform(
+                    F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / step)),
+                    lambda i: F.substring(
+                        F.col("sequence"), (i * step + 1).cast("int"), F.lit(step + longest - 1)
+                    ),
+                ),
+            )
+        ).alias("piece")
+    ).distinct()
+    small = seeds.count() <= MAX_SEED_ROWS
+    if not small:
+        # Probes travel as (seed, piece id, place). Equal ids of different pieces do no
+        # harm: whatever is cut out of a piece is part of a protein.
+        pieces = scale.store(pieces.withColumn("id", F.xxhash64("piece")))
+    places = F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(step)))).alias("pos")
+    at = pieces.select("*", places)
     found = None
-    for k in sorted(facts["seed_sizes"]):
+    for k in seed_sizes:
         table = seeds.filter(F.length("seed") == k)
-        seed = F.substring(F.col("piece"), F.col("pos"), F.lit(k))
-        if n_seeds <= MAX_SEED_ROWS:
-            probes = at.select("piece", "pos", seed.alias("seed")).filter(F.length("seed") == k)
-            hits = probes.join(F.broadcast(table), "seed").select(
-                "piece", "pos", F.explode("lengths").alias("len")
-            )
-            text = F.substring(F.col("piece"), F.col("pos"), F.col("len"))
+        seed = F.substring(F.col("piece"), F.col("pos"), F.lit(k)).alias("seed")
+        if small:
+            probes = at.select("piece", "pos", seed).filter(F.length("seed") == k)
+            hits = probes.join(F.broadcast(table), "seed")
         else:
-            # Shuffled probes carry only the letters a candidate can need; copies of a
-            # context collapse, and a frequent seed is salted by its counted contexts.
-            contexts = at.select(
-                F.substring(F.col("piece"), F.col("pos"), F.lit(facts["longest"])).alias("context")
-            ).distinct()
-            probes = contexts.select(
-                "context", F.substring("context", F.lit(1), F.lit(k)).alias("seed")
-            ).filter(F.length("seed") == k)
-            hits = scale.shuffle_join(
-                probes, table, "seed", how="inner", salt_on=["context"]
-            ).select("context", F.explode("lengths").alias("len"))
-            text = F.substring(F.col("context"), F.lit(1), F.col("len"))
-        candidates = hits.select(text.alias("peptide"), "len").filter(
-            F.length("peptide") == F.col("len")
-        )
+            probes = at.select("id", "pos", seed).filter(F.length("seed") == k)
+            known = scale.shuffle_join(probes, table, "seed", how="inner", salt_on=["id", "pos"])
+            hits = scale.shuffle_join(known, pieces, "id", how="inner", salt_on=["pos"])
+        candidates = hits.select("piece", "pos", F.explode("lengths").alias("len")).select(
+            F.substring(F.col("piece"), F.col("pos"), F.col("len")).alias("peptide"), "len"
+        ).filter(F.length("peptide") == F.col("len"))
         found = candidates if found is None else found.unionByName(candidates)
-    return distinct.join(found.select("peptide").distinct(), "peptide", "left_semi")
+    return found.select("peptide").distinct()
 
 
 def normalised_proteins(proteins: DataFrame) -> DataFrame:

@@ -203,6 +203,19 @@ def test_hits_equal_brute_force(spark, scaled, request, monkeypatch):
     assert sorted(r[0] for r in got.collect()) == sorted(p for p in peps if any(p in h for h in hay))
 
 
+@pytest.mark.parametrize("seeds", [500_000, 1])
+def test_one_very_long_peptide_among_short_ones(spark, monkeypatch, seeds):
+    monkeypatch.setattr(proteome, "MAX_SEED_ROWS", seeds)
+    rng = random.Random(3)
+    hay = "".join(rng.choice("ACDEFGHKLMNPQRSTVWY") for _ in range(30_000))
+    peps = [hay[5_000:25_000], hay[29_990:], hay[100:109], hay[0:65], "WWWWWWWWW", hay[5_000:24_999] + "X"]
+    got = proteome.found_peptides(
+        spark.createDataFrame([(p,) for p in peps], "peptide string"),
+        spark.createDataFrame([(hay,), (None,), ("",)], "sequence string"),
+    )
+    assert {r[0] for r in got.collect()} == {p for p in peps if p in hay}
+
+
 def test_annotate_hits(spark, tmp_path):
     (tmp_path / "p.fasta").write_text(">prot1\nXXXXXXMKLLPEPTLDEMKLLYYYY\n")
     psms = spark.createDataFrame(
