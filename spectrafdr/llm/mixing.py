@@ -31,6 +31,8 @@ from spectrafdr.operators import scale
 
 SLOTS_HEX = 3  # 16 ** 3 slots per source
 SEED = "mix-1"
+# Tables with a few numbers per source are broadcast up to this many counted sources.
+BROADCAST_SOURCES = 100_000
 
 
 def _key(doc_id: str, seed: str) -> Column:
@@ -106,6 +108,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             F.when(F.col("source_size") > 0, F.expr("words % source_size")).otherwise(0).alias("rest"),
         )
     )
+    small = goals.count() <= BROADCAST_SOURCES
     slotted = measured.withColumn("slot", F.substring("key", 1, SLOTS_HEX))
     slots = slotted.groupBy("source", "slot").agg(F.sum("size").alias("in_slot"))
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,12 +117,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
     # The slot of each source in which its fraction ends; all earlier slots are taken whole.
     last = (
-        _join_source(offsets, goals.select("source", "rest"))
+        _join_source(offsets, goals.select("source", "rest"), small)
         .filter("offset <= rest AND rest < offset + in_slot")
         .select("source", F.col("slot").alias("last_slot"), F.col("offset").alias("last_offset"))
     )
-    goals = scale.materialise(_join_source(goals, last, "left"))
-    rows = _join_source(slotted, goals)
+    goals = scale.materialise(_join_source(goals, last, small, "left"))
+    rows = _join_source(slotted, goals, small)
     inside = F.col("slot") == F.col("last_slot")
     early = F.col("slot") < F.col("last_slot")
     ordered = (
@@ -141,9 +144,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
 
 
-def _join_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the null-safe source; ``right`` has one narrow row per source."""
+def _join_source(left: DataFrame, right: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Join on the null-safe source; ``right`` has at most one narrow row per source.
+
+    ``small`` says that the sources were counted and are few enough to broadcast, so that rows
+    of a large source stay where they are; otherwise Spark splits a skewed source.
+    """
     other = right.withColumnRenamed("source", "_source")
+    other = F.broadcast(other) if small else other
     return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
 
 

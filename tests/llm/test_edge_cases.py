@@ -195,7 +195,9 @@ def test_kept_text_is_valid_and_keeps_whole_characters(spark):
     assert got == {1: (shared, "de"), 2: ("xy", "de"), 3: ("", "de")}
 
 
-def test_mixing_meets_targets_and_limits(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_mixing_meets_targets_and_limits(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     docs = fx.documents(spark)
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
