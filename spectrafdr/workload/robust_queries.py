@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectrafdr.constants import CARBON_ISOTOPE_MASS_SHIFT
 from spectrafdr.functions import peptides as P
+from spectrafdr.functions import spectra as N
 from spectrafdr.operators import diagnostics, evaluation, fdr
+from spectrafdr.operators import features as E
 from spectrafdr.operators.features import RetentionTime
 from spectrafdr.sources import predictions, saved, spectra
 from spectrafdr.workload import views as V
@@ -221,3 +224,74 @@ def irt_global_second_set(spark, d):
     feature(rows)
     feature.irt_table = second
     return feature(rows).select("event_id", rnd("irt_error"))
+
+
+# --- peak matching: ppm tolerance, competing ions, isotopes -------------------------------
+
+
+@query(
+    "ion_match_ppm",
+    f"""WITH {V.SPECTRUM_SQL}, {V.ION_SQL}, total AS (SELECT vec_id, sum(h) AS tot FROM spec GROUP BY 1),
+        hit AS (SELECT *, abs(mz - (1e2 + 1e1 * i)) < mz * 20 / 1e6 AS ok FROM ion)
+        SELECT concat('v:', vec_id) AS spectrum_id, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 6) AS match_rate,
+          round(sum(CASE WHEN ok THEN h ELSE 0e0 END) / any_value(tot), 6) AS match_intensity,
+          count(*) FILTER (ok) AS n_matched
+        FROM hit JOIN total USING (vec_id) GROUP BY vec_id""",
+)
+def ion_match_ppm(spark, d):
+    """20 ppm: the same offset matches from m/z 250 on only."""
+    rows = V.spectra(spark, d).join(E.ions_to_arrays(V.predicted_ions(spark, d)), "spectrum_id")
+    matched = N.matched_ions(
+        F.col("mz"), F.col("annotation"), F.col("mz_array"), F.col("intensity_array"), 20, "ppm"
+    )
+    return rows.select("spectrum_id", matched.alias("m")).select("spectrum_id", "m.*").select(
+        "spectrum_id", rnd("match_rate"), rnd("match_intensity"), F.size("mz").cast("long").alias("n_matched")
+    )
+
+
+@query(
+    "ion_match_conflicts",
+    """WITH pair AS (
+          SELECT vec_id, j, abs(embedding[2 * j + 1]::double) AS h0, abs(embedding[2 * j + 2]::double) AS h1,
+            (vec_id + j) % 4 AS s
+          FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS j FROM embeddings))
+        SELECT concat('v:', vec_id) AS spectrum_id, round(1e0 / 3, 6) AS match_rate,
+          round(sum(h1 + CASE WHEN s = 1 THEN 0e0 ELSE h0 END) / sum(h0 + h1), 6) AS match_intensity,
+          string_agg(CASE s WHEN 0 THEN concat('b', 2 * j + 2, '+1') WHEN 1 THEN concat('y', j + 1, '+1')
+                     ELSE concat('b', 2 * j + 1, '+1') END, ',' ORDER BY j) AS annotations
+        FROM pair GROUP BY vec_id""",
+)
+def ion_match_conflicts(spark, d):
+    """Two ions want one peak, a third wants the isotope peak that the winner's envelope takes.
+
+    Of every three ions the first one present wins: it takes the peak and its M+1, the others
+    find nothing free. Without the first two the third takes the isotope peak itself.
+    """
+    base = V.table(spark, d, "embeddings").select(
+        "vec_id", F.posexplode("embedding").alias("i", "e")
+    )
+    mz = F.expr("1e2 + 2e1 * (i div 2)") + F.col("i") % 2 * F.lit(CARBON_ISOTOPE_MASS_SHIFT)
+    peaks = F.struct(mz.alias("mz"), F.abs(F.col("e").cast("double")).alias("h"))
+    j = F.expr("cast(i div 2 AS bigint)")
+    s = (F.col("vec_id") + j) % 4
+    away = F.lit(5.0)
+    first = F.when(s < 2, away).otherwise(F.lit(0.005))
+    second = F.when(s == 1, away + 1).otherwise(F.lit(0.010))
+    third = F.lit(CARBON_ISOTOPE_MASS_SHIFT + 0.005)
+    ions = F.array(
+        *[
+            F.struct((F.lit(100.0) + 20.0 * j + shift).alias("mz"), F.concat(F.lit(kind), number, F.lit("+1")).alias("name"))
+            for shift, kind, number in ((first, "b", 2 * j + 1), (second, "b", 2 * j + 2), (third, "y", j + 1))
+        ]
+    )
+    rows = base.groupBy("vec_id").agg(  # 64 peaks each
+        F.array_sort(F.collect_list(peaks)).alias("p"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("i") % 2 == 0, ions)))).alias("n"),
+    )
+    field = lambda c, f: F.transform(c, lambda x: x[f])
+    matched = N.matched_ions(field("n", "mz"), field("n", "name"), field("p", "mz"), field("p", "h"), 0.02, "da")
+    return rows.select("vec_id", matched.alias("m")).select(
+        F.concat(F.lit("v:"), F.col("vec_id")).alias("spectrum_id"),
+        F.round("m.match_rate", 6).alias("match_rate"), F.round("m.match_intensity", 6).alias("match_intensity"),
+        F.array_join("m.annotations", ",").alias("annotations"),
+    )
