@@ -219,7 +219,7 @@ def test_precision_recall_and_frequency_bins_scaled(spark, tiny_limits):
 def test_label_coercion(spark):
     df = rows(spark, [(1.0,), (0.0,)], "y double")
     assert [r[0] for r in filters.boolean_labels(df, "y").collect()] == [True, False]
-    with pytest.raises(Exception, match="missing values"):
+    with pytest.raises(Exception, match="is NULL in some row"):
         filters.boolean_labels(rows(spark, [(None,), (1.0,)], "y double"), "y").collect()
 
 
