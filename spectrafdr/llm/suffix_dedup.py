@@ -54,7 +54,8 @@ LEAST_PARTS = 64
 # bucket then still holds some forty suffixes at 100 TB (groups of 250 MB).
 MOST_PARTS = 400_000
 SAMPLE_BYTES = 8_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
+SEEDS_AT_ONCE = 20_000
 NO_ID = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -408,7 +409,7 @@ def _compare_contexts(found: pa.Table) -> pa.Table:
     seed = np.cumsum(_changes(lead[order], tail[order])).astype(np.uint64)
     results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rows = raw.view(np.uint8).reshape(-1, CONTEXT)
-    edges = [*np.flatnonzero(np.append(True, np.diff(seed // np.uint64(50_000)) > 0)), len(order)]
+    edges = [*np.flatnonzero(np.append(True, np.diff(seed // np.uint64(SEEDS_AT_ONCE)) > 0)), len(order)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         at = order[a:b]
         results.append((at, *repeated_strings(rows[at], before[at], behind[at], seed[a:b], doc[at])))
