@@ -292,13 +292,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(of_print, "bits").select("doc_id", "content", "bits", "label", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near=near_duplicates) -> DataFrame:
     """Rows of ``docs`` with one left per component: the one with the smallest id.
 
+    ``near`` finds the components: ``doc_id, content, label`` per row.
     Rows without an id come after those with one. Rows that repeat the chosen id and text
     leave one row.
     """
-    found = scale.materialise(near_duplicates(docs, doc_id, text).select("doc_id", "content", "label"))
+    found = scale.materialise(near(docs, doc_id, text).select("doc_id", "content", "label"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
     chosen = found.groupBy("label").agg(F.min(order).alias("best")).select(
         F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content")
