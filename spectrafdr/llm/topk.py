@@ -1,8 +1,8 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
 Data are dealt by a hash of their id into shards of about ``ROWS_PER_SHARD`` rows, queries
-into blocks of ``QUERIES_PER_BLOCK``. Every shard meets every block once: a cover tree over
-the shard, one over the block, and a traversal of node pairs from the best bound down. A pair
+into blocks of ``QUERIES_PER_BLOCK``. Every shard meets every block once, in tasks of one shard
+and about ``BLOCKS_PER_MEETING`` blocks, for which its rows are repeated: a cover tree over the shard, one over the block, and a traversal of node pairs from the best bound down. A pair
 is dropped when no product of its members can reach the worst k-th score within its group of
 queries: with centres q, p and covering radii r, s a product is at most
 ``q.p + |q| s + |p| r + r s``. What is left is multiplied out. Each shard returns at most k
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 ROWS_PER_SHARD = 32_768
 LEAST_SHARDS = 32
 QUERIES_PER_BLOCK = 256
+BLOCKS_PER_MEETING = 256
 LEAF = 64
 QUERY_LEAF = 4
 COLUMNS_AT_ONCE = 4096
@@ -181,8 +182,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def _block(found: pa.Table) -> pa.Table:
     queries = _matrix(found.column("vector"), 0)
     ids = np.asarray(found.column("vec_id"))
-    return pa.table({"ids": [ids.tobytes()], "queries": [queries.tobytes()], "width": pa.array([queries.shape[1]], pa.int32())},
-                    schema=pa.schema([("ids", pa.binary()), ("queries", pa.binary()), ("width", pa.int32())]))
+    return pa.table({"block": [found.column("block")[0].as_py()], "ids": [ids.tobytes()], "queries": [queries.tobytes()],
+                     "width": pa.array([queries.shape[1]], pa.int32())},
+                    schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("queries", pa.binary()), ("width", pa.int32())]))
+
+
+def _numbers(count: int) -> Column:
+    """The numbers below ``count``."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
 
 
 def _meet(k: int):
@@ -226,11 +233,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     blocks = (
         asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(n_blocks)))
         .groupBy("block")
-        .applyInArrow(_block, "ids binary, queries binary, width int")
+        .applyInArrow(_block, "block long, ids binary, queries binary, width int")
     )
     # The stated query set meets all shards, a block at a time.
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    found = sharded.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(
+    sent = blocks.withColumn("part", F.floor(F.col("block") / BLOCKS_PER_MEETING)).withColumn(
+        "shard", F.explode(_numbers(n_shards))
+    ).drop("block")
+    repeated = sharded.withColumn("part", F.explode(_numbers(-(-n_blocks // BLOCKS_PER_MEETING))))
+    found = repeated.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(
         _meet(k), "query_id long, vec_id long, score long"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
