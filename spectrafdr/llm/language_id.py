@@ -75,7 +75,7 @@ def fit(
 ) -> LanguageModel:
     """Learn from all rows of ``docs`` with a text and a language.
 
-    ``max_languages`` bounds the matrix: the most frequent languages by rows are learned.
+    ``max_languages`` bounds the matrix; more languages raise a ``ValueError``, none is left out.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(language).alias("lang")).filter(
         "text IS NOT NULL AND lang IS NOT NULL"
@@ -84,10 +84,10 @@ def fit(
     summed = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # Bucket -1 carries the number of rows, so priors come from the same pass.
     summed = materialise(summed)
-    rows_each = summed.filter("bucket = -1").orderBy(F.desc("n"), "lang")
-    top = [r.lang for r in rows_each.limit(max_languages).collect()]
-    found = summed.filter(F.col("lang").isin(top)).toArrow()
-    return _model(found, orders, bits, smoothing)
+    n_languages = summed.filter("bucket = -1").count()
+    if n_languages > max_languages:
+        raise ValueError(f"{n_languages} languages, but max_languages is {max_languages}; none may be left out")
+    return _model(summed.toArrow(), orders, bits, smoothing)
 
 
 def _counter(orders: int, bits: int):
