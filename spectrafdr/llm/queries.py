@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafdr.llm import (
+    alignment,
     common,
+    hard_negatives,
     language_id,
     mixing,
     packing,
+    personal_data,
     quality_classifier,
     quality_rules,
     simhash,
@@ -97,3 +100,28 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_classifier.fit(docs, labels, label="quality")
     found = quality_classifier.score(docs, model)
     return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@_register
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = common.table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@_register
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, folder, "documents")
+    return alignment.align(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+@_register
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find(common.table(spark, folder, "documents"))
+    counts = [personal_data.count_of("spans", kind).alias(f"n_{kind}") for kind in personal_data.BASE_KINDS]
+    base = personal_data.listed(personal_data.base_only("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
