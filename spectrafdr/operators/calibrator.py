@@ -164,6 +164,13 @@ def _flatten(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts])
 
 
+# Without a given number, one shard per so many rows.
+ROWS_PER_SHARD = 200_000
+LEAST_SHARDS = 4
+# Rows of one matrix product, and sums that one task of the tree adds up.
+ROWS_AT_ONCE = 8192
+FAN_IN = 32
+_SUM_SCHEMA = "n bigint, loss double, g array<double>"
 _EPOCH_SCHEMA = (
     "n bigint, loss double, batches bigint, t bigint, w array<double>, m array<double>, v array<double>"
 )
@@ -205,7 +212,9 @@ class ProbabilityCalibrator:
     val_early_stopping_max_psms: int | None = None
     val_subsample_seed: int | None = None
     backend: str = "relu"
-    shards: int = 4
+    shards: int | None = None
+    synchronous: bool = False
+    steps_per_epoch: int = 1
     mean: list[float] | None = field(default=None, init=False)
     std: list[float] | None = field(default=None, init=False)
     weights: list[np.ndarray] | None = field(default=None, init=False, repr=False)
@@ -247,7 +256,10 @@ class ProbabilityCalibrator:
         n_rows = matrix.count()
         if n_rows == 0:
             raise ValueError("training requires at least one labelled row")
-        matrix = self._spread(matrix)
+        if not self.synchronous:
+            if self.shards is None:
+                self.shards = max(LEAST_SHARDS, -(-n_rows // ROWS_PER_SHARD))
+            matrix = self._spread(matrix)
         stats = {
             r["feature"]: (r["mean"], r["std"])
             for r in standardisation(matrix, self.inputs).collect()
@@ -283,15 +295,23 @@ class ProbabilityCalibrator:
     def _spread(self, matrix: DataFrame) -> DataFrame:
         """Deal rows to ``shards`` tasks in one seeded order.
 
-        ``shards`` models are trained and averaged per epoch. The number is a parameter that
-        is saved with the model; rows go to shards, and stand in them, by a seeded hash of
-        their values. So neither the row count nor a session setting changes the fit.
+        ``shards`` models are trained and averaged per epoch. The number is a parameter, or one
+        per ``ROWS_PER_SHARD`` rows, and is saved with the model. Rows go to shards, and stand
+        in them, by a seeded hash of their values, copies of a row to one shard after the
+        other. So no session setting and no layout of files changes the fit, and a repeated
+        row with a third of the table is spread like any other.
         """
-        key = F.xxhash64(F.lit(self.seed), *[F.col(f"`{c}`") for c in matrix.columns])
-        dealt = matrix.withColumn("_key", key)
-        shard = F.pmod("_key", F.lit(self.shards)).cast("int")
+        columns = [F.col(f"`{c}`") for c in matrix.columns]
+        counted = matrix.groupBy(*columns).agg(F.count("*").alias("_n"))
+        shards = F.lit(self.shards).cast("long")
+        share = F.call_function("div", F.col("_n"), shards) + (F.col("_i") < F.col("_n") % shards).cast("long")
+        dealt = counted.withColumn("_key", F.xxhash64(F.lit(self.seed), *columns)).withColumn(
+            "_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_n", shards) - 1))
+        ).withColumn("_times", share)
+        shard = F.pmod(F.pmod("_key", shards) + F.col("_i"), shards).cast("int")
         placed = dealt.repartitionById(self.shards, shard).sortWithinPartitions("_key")
-        return scale.materialise(placed.drop("_key"))
+        again = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+        return scale.materialise(again.select(*columns))
 
     def _fit_relu(self, matrix, early, label, mean, std, epoch_callback) -> TrainingHistory:
         weights = init_weights([len(self.inputs), *self.hidden_dims, 1], self.seed)
@@ -302,8 +322,9 @@ class ProbabilityCalibrator:
         if early is not None:
             history.val_losses, history.val_accuracies = [], []
         best_loss, best_flat, misses = float("inf"), None, 0
+        one_pass = self._synchronous_epoch if self.synchronous else self._epoch
         for epoch in range(self.max_epochs):
-            flat, state, loss = self._epoch(matrix, label, flat, shapes, state, mean, std, epoch)
+            flat, state, loss = one_pass(matrix, label, flat, shapes, state, mean, std, epoch)
             history.train_losses.append(loss)
             if early is None:
                 history.best_epoch = epoch
@@ -365,6 +386,44 @@ class ProbabilityCalibrator:
         new_state = {"m": merged["m"], "v": merged["v"], "t": merged["t"]}
         return merged["w"], new_state, merged["loss"]
 
+    def _synchronous_epoch(self, matrix, label, flat, shapes, state, mean, std, epoch):
+        """``steps_per_epoch`` steps, each on the gradient of all its rows in all tasks.
+
+        A row's step, and whether its units are dropped, follow from a seeded hash of its
+        values. Tasks return sums, which are added up in a tree; so any number of tasks can
+        work and the result does not depend on it, up to the rounding of sums.
+        """
+        inputs, keep, seed = self.inputs, 1.0 - self.dropout, self.seed
+        adam = _Adam(flat, state, self.learning_rate, self.weight_decay)
+        chosen = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), *[F.col(f"`{c}`") for c in matrix.columns]), F.lit(2**62))
+        losses = []
+        for step in range(self.steps_per_epoch):
+            rows = matrix.withColumn("_h", chosen).filter(F.col("_h") % self.steps_per_epoch == step)
+            now = adam.flat
+
+            def run(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+                weights, total, loss, n = _unflatten(now, shapes), np.zeros_like(now), 0.0, 0
+                for whole in frames:
+                    for at in range(0, len(whole), ROWS_AT_ONCE):
+                        frame = whole.iloc[at : at + ROWS_AT_ONCE]
+                        x = (frame[inputs].to_numpy(np.float64) - mean) / std
+                        y = frame[label].to_numpy(np.float64)
+                        drop = _hashed_dropout(frame["_h"].to_numpy(np.uint64), keep) if keep < 1 else None
+                        z, layers = forward(weights, x, drop)
+                        total += _flatten(gradients(weights, layers, sigmoid(z) - y, keep))
+                        loss += float(logistic_loss(z, y).sum())
+                        n += len(y)
+                if n:
+                    yield pd.DataFrame({"n": [n], "loss": [loss], "g": [total]})
+
+            found = _summed(rows.mapInPandas(run, _SUM_SCHEMA))
+            if found is None:
+                continue
+            n, loss, gradient = found
+            adam.step(gradient / n)
+            losses.append(loss / n)
+        return adam.flat, {"m": adam.m, "v": adam.v, "t": adam.t}, float(np.mean(losses)) if losses else float("nan")
+
     def _fit_sigmoid(self, matrix, label) -> TrainingHistory:
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -489,6 +548,42 @@ class ProbabilityCalibrator:
         return model
 
 
+def _hashed_dropout(hashes: np.ndarray, keep: float):
+    """Dropout multipliers that depend on the row's hash, the unit and the layer alone."""
+    layer = 0
+
+    def drop(shape):
+        nonlocal layer
+        layer += 1
+        unit = np.arange(1, shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(layer)
+        mixed = (hashes[:, None] ^ unit[None, :]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return ((mixed >> np.uint64(11)) / float(1 << 53) < keep) / keep
+
+    return drop
+
+
+def _summed(parts: DataFrame) -> tuple[int, float, np.ndarray] | None:
+    """Sums of ``n, loss, g`` over all rows: rounds of ``FAN_IN`` rows a task, one row to the driver."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, loss, g = 0, 0.0, None
+        for frame in frames:
+            n += int(frame["n"].sum())
+            loss += float(frame["loss"].sum())
+            own = np.sum(np.stack(frame["g"].to_list()), axis=0) if len(frame) else 0.0
+            g = own if g is None else g + own
+        if n:
+            yield pd.DataFrame({"n": [n], "loss": [loss], "g": [g]})
+
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.repartition(tasks).mapInPandas(add, _SUM_SCHEMA)
+    rows = parts.collect()
+    return (rows[0]["n"], rows[0]["loss"], np.array(rows[0]["g"])) if rows else None
+
+
 def _partition_id() -> int:
     from pyspark import TaskContext
 

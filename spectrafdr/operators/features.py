@@ -11,7 +11,7 @@ import functools
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spectrafdr.constants import (
@@ -195,11 +195,23 @@ class BeamStatistics:
         ).drop("_p", "_r", "_a", "_b")
 
 
+@dataclass(frozen=True)
+class Dependency:
+    """A shared step that several features need; it runs once, before all of them."""
+
+    name: str
+    function: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.function(df)
+
+
 @dataclass(frozen=True)
 class CustomFeature:
     name: str
     columns: list[str]
     function: Callable[[DataFrame], DataFrame]
+    dependencies: tuple[Dependency, ...] = ()
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.function(df)
@@ -587,7 +599,7 @@ class FeatureSet:
         return functools.reduce(lambda frame, step: step(frame), steps, df)
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
+def _missing_counters(df: DataFrame) -> list[Column]:
     """Row count, rows with fewer than two beams, and rows per missing-flag column."""
     parts = [F.count("*").alias("n_rows")]
     if "beams" in df.columns:
@@ -596,6 +608,16 @@ def missing_counts(df: DataFrame) -> DataFrame:
     parts += [
         F.count_if(F.col(c)).alias(f"n_{c}") for c in df.columns if c.startswith("is_missing_")
     ]
-    return df.agg(*parts)
+    return parts
+
+
+def count_missing(df: DataFrame, counters: Observation) -> DataFrame:
+    """``df`` unchanged; the first job that reads it fills ``counters`` (see ``counters.get``)."""
+    return df.observe(counters, *_missing_counters(df))
+
+
+def missing_counts(df: DataFrame) -> DataFrame:
+    """The counters of rows that are stored already, in one row."""
+    return df.agg(*_missing_counters(df))
 
 

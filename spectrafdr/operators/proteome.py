@@ -1,21 +1,25 @@
-"""Proteome hits: which peptides occur inside any protein.
-
-A theta join on "contains" would compare every pair. Instead:
-
-1. distinct peptides give distinct (seed, length) pairs, the seed being the first
-   ``min(7, length)`` letters; lengths are grouped per seed, in classes of length;
-2. proteins are cut into short overlapping pieces, every position of a piece is
-   probed with its seed, and a position with a known seed emits one substring per
-   wanted length - never one row per peptide sharing the seed;
-3. distinct substrings meet the distinct peptides in an exact semi join.
-
-Work is linear in protein letters (times lengths on matching seeds) whatever the
-number of peptides behind a seed or of copies of a protein.
+"""Proteome hits: which peptides occur inside any protein, in one pass over the proteins.
+
+A theta join on "contains" would compare every pair. Instead every peptide is looked up by
+its head, the first ``SPAN`` letters (all of it, mostly), and every head by its seed, the
+first ``SEED_LENGTH`` letters:
+
+1. proteins are cut into short overlapping pieces, once for all lengths, and every position
+   is probed with its seed; a known seed cuts one head per wanted length - never one row per
+   peptide sharing the seed. Nothing is shuffled before a position has passed this test: up
+   to ``MAX_SEED_ROWS`` seeds and heads are broadcast; beyond that a Bloom filter of bounded
+   size over all seeds is tested inside the scan, and only survivors travel to their seeds;
+2. heads that occur settle all peptides of at most ``SPAN`` letters by a semi join;
+3. for longer ones the places of their heads, few by now, go to the proteins once more and
+   cut out one substring per wanted length, which meet the peptides in a semi join.
+
+Work is linear in protein letters (times lengths on matching seeds) whatever the number of
+peptides behind a seed or of copies of a protein, and whatever the longest peptide.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,82 +28,135 @@ from spectrafdr.operators import scale
 from spectrafdr.operators.filters import long_enough
 
 SEED_LENGTH = 7
+SPAN = 64
 PIECE_LENGTH = 256
-# Peptides are looked up in length classes (powers of two), pieces being twice as long as the
-# longest of the class: one very long peptide does not lengthen the pieces of all others.
-SHORTEST_CLASS = 64
-# Seeds with their length lists stay below about 100 MB when broadcast.
+# Letters of the first, coarse cut: cutting a substring walks to its place.
+CHUNK_LENGTH = 65_536
+# Heads have at most SPAN letters and seeds at most SPAN lengths: below about 100 MB broadcast.
 MAX_SEED_ROWS = 500_000
+# The Bloom filter travels with the plan. Beyond this size it only lets more survivors through.
+FILTER_BYTES = 8_000_000
+FILTER_BYTES_PER_SEED = 2
+FILTER_HASHES = 3
+_BITS = 7  # of a byte: such bytes are ASCII characters
 
 
 def found_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     """Distinct ``peptide`` values that are substrings of any ``sequence``."""
     size = F.length("peptide")
-    # Powers of two from SHORTEST_CLASS on.
-    length_class = F.greatest(F.lit(SHORTEST_CLASS), F.pow(F.lit(2.0), F.ceil(F.log2(size))).cast("int"))
     distinct = scale.materialise(
-        peptides.select("peptide").filter(size > 0).distinct().withColumn("_class", length_class)
+        peptides.select("peptide").filter(size > 0).distinct().withColumn("_head", F.substring("peptide", 1, SPAN))
     )
-    classes = distinct.groupBy("_class").agg(
-        F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(SEED_LENGTH))).alias("seed_sizes")
-    ).orderBy("_class").collect()  # one row per power of two
-    found = None
-    for c in classes:
-        own = distinct.filter(F.col("_class") == c["_class"]).select("peptide")
-        hits = _candidates(own, proteins, c["longest"], sorted(c["seed_sizes"]))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return distinct.select("peptide")
-    return distinct.select("peptide").join(found.distinct(), "peptide", "left_semi")
-
-
-def _candidates(
-    distinct: DataFrame, proteins: DataFrame, longest: int, seed_sizes: list[int]
-) -> DataFrame:
-    """Substrings (column ``peptide``) at the seeds of peptides of one length class."""
-    size = F.length("peptide")
-    seeds = distinct.groupBy(
-        F.substring("peptide", F.lit(1), F.least(size, F.lit(SEED_LENGTH))).alias("seed")
-    ).agg(F.collect_set(size).alias("lengths"))
-    step = max(PIECE_LENGTH, 2 * longest)
-    # Distinct pieces: copies of a protein combine on the map side, the shuffle spreads
-    # long proteins over tasks, and the position loop starts a fresh, compact stage.
-    pieces = proteins.select(
-        F.explode(
-            F.when(
-                F.length("sequence") > 0,  # NULL explodes to no rows
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / step)),
-                    lambda i: F.substring(
-                        F.col("sequence"), (i * step + 1).cast("int"), F.lit(step + longest - 1)
-                    ),
-                ),
-            )
-        ).alias("piece")
-    ).distinct()
-    small = seeds.count() <= MAX_SEED_ROWS
-    if not small:
-        # Probes travel as (seed, piece id, place). Equal ids of different pieces do no
-        # harm: whatever is cut out of a piece is part of a protein.
-        pieces = scale.store(pieces.withColumn("id", F.xxhash64("piece")))
-    places = F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(step)))).alias("pos")
-    at = pieces.select("*", places)
-    found = None
-    for k in seed_sizes:
-        table = seeds.filter(F.length("seed") == k)
-        seed = F.substring(F.col("piece"), F.col("pos"), F.lit(k)).alias("seed")
-        if small:
-            probes = at.select("piece", "pos", seed).filter(F.length("seed") == k)
-            hits = probes.join(F.broadcast(table), "seed")
-        else:
-            probes = at.select("id", "pos", seed).filter(F.length("seed") == k)
-            known = scale.shuffle_join(probes, table, "seed", how="inner", salt_on=["id", "pos"])
-            hits = scale.shuffle_join(known, pieces, "id", how="inner", salt_on=["pos"])
-        candidates = hits.select("piece", "pos", F.explode("lengths").alias("len")).select(
-            F.substring(F.col("piece"), F.col("pos"), F.col("len")).alias("peptide"), "len"
-        ).filter(F.length("peptide") == F.col("len"))
-        found = candidates if found is None else found.unionByName(candidates)
-    return found.select("peptide").distinct()
+    heads = scale.materialise(
+        distinct.groupBy(F.col("_head").alias("head")).agg(F.collect_set(F.when(size > SPAN, size)).alias("longer"))
+    )
+    places = scale.materialise(_places(heads, proteins))
+    short = distinct.filter(size <= SPAN).join(
+        places.select(F.col("head").alias("_head")).distinct(), "_head", "left_semi"
+    )
+    whole = _whole(places.filter("id IS NOT NULL"), heads, proteins)
+    long = distinct.filter(size > SPAN).join(whole, "peptide", "left_semi")
+    return short.select("peptide").unionByName(long.select("peptide"))
+
+
+def _cut(text: str, step: int, overlap: int, start: Column) -> Column:
+    """Pieces of ``step`` letters and ``overlap`` more, with their place (from 0)."""
+    count = F.floor((F.length(text) - 1) / step)
+    pieces = F.transform(
+        F.sequence(F.lit(0).cast("long"), count),
+        lambda i: F.struct(
+            F.substring(F.col(text), (i * step + 1).cast("int"), F.lit(step + overlap)).alias("piece"),
+            (start + i * step).alias("start"),
+            F.least(F.length(text) - i * step, F.lit(step)).cast("int").alias("own"),
+        ),
+    )
+    return F.explode(pieces)
+
+
+def _positions(proteins: DataFrame) -> DataFrame:
+    """``id, start, window`` of every position: at most ``SPAN`` letters from there on."""
+    overlap = SPAN - 1
+    base = proteins.select("sequence", F.xxhash64("sequence").alias("id")).filter(F.length("sequence") > 0)
+    chunks = base.select("id", _cut("sequence", CHUNK_LENGTH, overlap, F.lit(0).cast("long")).alias("c"))
+    chunks = chunks.select("id", "c.piece", "c.start", "c.own")
+    # The overlap of a chunk belongs to the next one.
+    pieces = chunks.select("id", "own", F.col("start").alias("base"), _cut("piece", PIECE_LENGTH, overlap, F.lit(0).cast("long")).alias("p"))
+    pieces = pieces.filter(F.col("p.start") < F.col("own")).select(
+        "id", (F.col("base") + F.col("p.start")).alias("begin"), F.col("p.piece").alias("piece"),
+        F.least(F.col("p.own"), (F.col("own") - F.col("p.start")).cast("int")).alias("own"),
+    )
+    each = pieces.select("id", "begin", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("pos"))
+    return each.select(
+        "id", (F.col("begin") + F.col("pos")).alias("start"), F.substring(F.col("piece"), F.col("pos"), F.lit(SPAN)).alias("window")
+    )
+
+
+def _places(heads: DataFrame, proteins: DataFrame) -> DataFrame:
+    """``head`` of every head that occurs; for heads of longer peptides with ``id`` and ``start``."""
+    seed = F.substring("head", 1, SEED_LENGTH)
+    seeds = scale.materialise(heads.groupBy(seed.alias("seed")).agg(F.collect_set(F.length("head")).alias("lengths")))
+    sizes = [r["k"] for r in seeds.select(F.length("seed").alias("k")).distinct().orderBy("k").collect()]
+    if not sizes:
+        return heads.select("head", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("start"))
+    window = F.col("window")
+    probes = F.array(*[F.substring(window, F.lit(1), F.lit(k)) for k in sizes])
+    at = _positions(proteins)
+    if len(sizes) == 1:
+        at = at.withColumn("seed", F.substring(window, F.lit(1), F.lit(sizes[0]))).filter(F.length("seed") == sizes[0])
+    else:  # a window at the end of a protein gives its shorter seeds only
+        at = at.withColumn("seed", F.explode(F.array_distinct(probes)))
+    n_heads = heads.count()
+    if n_heads <= MAX_SEED_ROWS:
+        known = at.join(F.broadcast(seeds), "seed")
+    else:
+        known = scale.shuffle_join(at.filter(_may_be_in(seeds)), seeds, "seed", how="inner", salt_on=["id", "start"])
+    cut = known.select("id", "start", "window", F.explode("lengths").alias("k")).select(
+        "id", "start", F.substring(window, F.lit(1), F.col("k")).alias("head"), "k"
+    ).filter(F.length("head") == F.col("k"))
+    longer = heads.select("head", (F.size("longer") > 0).alias("more"))
+    if n_heads <= MAX_SEED_ROWS:
+        hit = cut.join(F.broadcast(longer), "head")
+    else:
+        hit = scale.shuffle_join(cut, longer, "head", how="inner", salt_on=["id", "start"])
+    return hit.select("head", F.when(F.col("more"), F.col("id")).alias("id"), F.when(F.col("more"), F.col("start")).alias("start")).distinct()
+
+
+def _filter_places(seed: str | Column, n_bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), seed), F.lit(n_bits)) for i in range(FILTER_HASHES)]
+
+
+def _may_be_in(seeds: DataFrame) -> Column:
+    """Whether column ``seed`` can be one of ``seeds``: a Bloom filter in built-in functions.
+
+    Bits are set and combined by Spark; at most ``FILTER_BYTES`` come to the driver.
+    """
+    n_bytes = max(1, min(FILTER_BYTES, FILTER_BYTES_PER_SEED * seeds.count()))
+    place = F.explode(F.array(*_filter_places("seed", n_bytes * _BITS)))
+    cells = seeds.select(place.alias("place")).groupBy(F.expr(f"place div {_BITS}").alias("cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1, cast(place % {_BITS} AS int))")).alias("bits")
+    ).toArrow()
+    filled = bytearray(n_bytes)
+    for cell, bits in zip(cells.column("cell").to_pylist(), cells.column("bits").to_pylist(), strict=True):
+        filled[cell] = bits
+    held = F.lit(bytes(filled))
+    found = F.lit(True)
+    for spot in _filter_places("seed", n_bytes * _BITS):
+        cell = F.ascii(F.substring(held, (F.floor(spot / _BITS) + 1).cast("int"), F.lit(1)).cast("string"))
+        bit = F.call_function("shiftright", cell, (spot % _BITS).cast("int"))
+        found = found & (bit.bitwiseAND(F.lit(1)) == 1)
+    return found
+
+
+def _whole(places: DataFrame, heads: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Substrings of more than ``SPAN`` letters (column ``peptide``) at the places of their heads."""
+    wanted = scale.attach(places, heads.filter(F.size("longer") > 0), "head", how="inner", salt_on=["id", "start"])
+    cuts = scale.materialise(wanted.select("id", "start", F.explode("longer").alias("k")).distinct())
+    ids = cuts.select("id").distinct()
+    named = proteins.select("sequence", F.xxhash64("sequence").alias("id")).filter(F.length("sequence") > 0)
+    own = scale.store(named.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    met = scale.shuffle_join(cuts, own, "id", how="inner", salt_on=["start", "k"])
+    text = F.substring(F.col("sequence"), F.col("start").cast("int"), F.col("k"))
+    return met.select(text.alias("peptide"), "k").filter(F.length("peptide") == F.col("k")).select("peptide").distinct()
 
 
 def normalised_proteins(proteins: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafdr.operators import diagnostics, fdr, scale
@@ -13,7 +13,7 @@ from spectrafdr.operators.calibrator import (
     TrainingHistory,
     feature_matrix,
 )
-from spectrafdr.operators.features import FeatureSet
+from spectrafdr.operators.features import FeatureSet, count_missing
 from spectrafdr.operators.filters import (
     labelled,
     require_labelled,
@@ -21,7 +21,7 @@ from spectrafdr.operators.filters import (
     usable_predictions,
 )
 from spectrafdr.operators.proteome import annotate_hits, annotation_counts
-from spectrafdr.operators.split import random_split
+from spectrafdr.operators.split import named_rows, random_split
 from spectrafdr.sources import saved
 
 
@@ -39,10 +39,17 @@ def compute_features(
     filter_empty: bool = True,
     metadata_path: str | None = None,
     matrix_path: str | None = None,
+    counters: Observation | None = None,
 ) -> DataFrame:
-    """Usable predictions with all features; optionally stored as metadata and matrix."""
+    """Usable predictions with all features; optionally stored as metadata and matrix.
+
+    ``counters`` is filled with the numbers of rows and of missing inputs by the same job that
+    computes the features.
+    """
     rows = usable_predictions(psms) if filter_empty else psms
     out = features(rows)
+    if counters is not None:
+        out = count_missing(out, counters)
     if metadata_path or matrix_path:
         out = scale.store(out)  # two sinks read it
         require_rows(out, "no spectra left after feature computation")
@@ -91,8 +98,7 @@ def train(
         if val_features_path is not None:
             val, _ = saved.load_features(spark, val_features_path)
             return Trained(model, model.fit(rows, val), None)
-        keyed = scale.materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
-        fit_rows, val = random_split(keyed, "_id", validation_fraction, model.seed)
+        fit_rows, val = random_split(named_rows(rows, "_id"), "_id", validation_fraction, model.seed)
         return Trained(model, model.fit(fit_rows, val, id_column="_id"), None)
     out = scale.store(compute_features(psms, features))
     require_labelled(out, "training")

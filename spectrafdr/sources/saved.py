@@ -10,6 +10,7 @@ from spectrafdr.functions import peptides as P
 from spectrafdr.operators import scale
 from spectrafdr.operators.calibrator import numeric_feature_columns
 from spectrafdr.operators.filters import checked_peptide_columns, drop_empty_labels, require_columns
+from spectrafdr.sources.csv_records import read_csv
 from spectrafdr.sources.predictions import finalise
 
 # Columns of a metadata CSV that are text whatever they look like.
@@ -18,6 +19,9 @@ TEXT_COLUMNS = (
     "sequence", "sequence_untokenised",
 )
 
+_WHOLE = r"^(0|-?[1-9][0-9]{0,17})$"
+_NAME = r"^[-+]?(0[0-9].*|[0-9]{16,})$"
+
 # --- scans ------------------------------------------------------------------
 
 
@@ -43,7 +47,9 @@ def numeric_list(text: Column) -> Column:
 def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
     """String columns that hold only numbers, or only true and false, as such; one pass.
 
-    Columns in ``skip`` and columns without any value stay as they are.
+    Whole numbers become long, so no digit is lost; other numbers double. Numbers with leading
+    zeros, and whole ones too long for a long, are names and stay text, as do columns in
+    ``skip`` and columns without any value.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     if not names:
@@ -54,7 +60,8 @@ def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
         as_bool = F.lower(value).isin("true", "false")
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(value.isNotNull() & ~F.coalesce(value.rlike(_WHOLE), F.lit(False))).alias(f"l{i}"),
+            F.count_if(value.isNotNull() & (value.try_cast("double").isNull() | value.rlike(_NAME))).alias(f"d{i}"),
             F.count_if(value.isNotNull() & ~as_bool).alias(f"b{i}"),
         ]
     found = df.agg(*checks).first()
@@ -62,6 +69,8 @@ def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
     for i, name in enumerate(names):
         if found[f"n{i}"] and not found[f"b{i}"]:
             kinds[name] = "boolean"
+        elif found[f"n{i}"] and not found[f"l{i}"]:
+            kinds[name] = "bigint"
         elif found[f"n{i}"] and not found[f"d{i}"]:
             kinds[name] = "double"
     return df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in kinds.items()})
@@ -74,7 +83,7 @@ def load_saved(spark: SparkSession, path: str, masses=None) -> DataFrame:
     correctness are re-derived in both cases.
     """
     if path.endswith(".csv"):
-        raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+        raw = read_csv(spark, path)
         for name in ("mz_array", "intensity_array"):
             if name in raw.columns:
                 raw = raw.withColumn(name, numeric_list(F.col(name)))

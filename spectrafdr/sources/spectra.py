@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spectrafdr.operators import scale
 from spectrafdr.operators.filters import drop_empty_labels
@@ -213,76 +211,24 @@ def scan_mgf(spark: SparkSession, paths: list[str], number: bool = True) -> Data
 
 
 def scan_ipc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Arrow IPC files by record batch: one task per batch, not per file.
+    """Arrow IPC files by runs of record batches (:class:`loaders.IpcSource`).
 
-    Tasks open the file at its path (any file system Arrow knows) and decode only
-    their own batch, so a file larger than a task's memory is fine. Columns are the
-    union over all files; a file without one has NULLs there.
+    Batches are found from footers and message headers, so numbering rows reads none, and a
+    task decodes its own batches only. Columns are the union over all files; a file without
+    one has NULLs there.
     """
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    paths = [part for p in paths for part in (_list_folder(spark, p, None) or [p])]
-
-    def read_schemas(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            found = []
-            for path in frame["path"]:
-                with _open_ipc(path) as reader:
-                    found.append(reader.schema.remove_metadata().serialize().to_pybytes())
-            yield pd.DataFrame({"schema": found})
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    kinds = files.mapInPandas(read_schemas, "schema binary").distinct().orderBy("schema").collect()
-    schema = pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(bytes(k.schema))) for k in kinds])
-    out = from_arrow_schema(schema)
-    out.add("_file", T.StringType()).add("_local", T.LongType())
-
-    def list_batches(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            for path in frame["path"]:
-                with _open_ipc(path) as reader:
-                    sizes = [reader.get_batch(i).num_rows for i in range(reader.num_record_batches)]
-                starts = [sum(sizes[:i]) for i in range(len(sizes))]
-                yield pd.DataFrame(
-                    {"path": path, "batch": range(len(sizes)), "start": starts}
-                ).astype({"path": str, "batch": "int64", "start": "int64"})
-
-    def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wanted in batches:
-            for row in wanted.to_pylist():
-                with _open_ipc(row["path"]) as reader:
-                    batch = reader.get_batch(row["batch"])
-                n = batch.num_rows
-                table = pa.Table.from_batches([batch])
-                table = pa.table(
-                    {
-                        f.name: table.column(f.name) if f.name in table.column_names else pa.nulls(n, f.type)
-                        for f in schema
-                    },
-                    schema=schema,
-                )
-                table = table.append_column("_file", pa.array([row["path"]] * n, pa.string()))
-                table = table.append_column(
-                    "_local", pa.array(range(row["start"], row["start"] + n), pa.int64())
-                )
-                yield from table.to_batches()
-
-    batches = files.mapInPandas(
-        list_batches, "path string, batch bigint, start bigint"
-    )
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return batches.repartition(n_tasks, "path", "batch").mapInArrow(read_batches, out)
+    from spectrafdr.sources.loaders import register_sources
 
+    register_sources(spark)
+    files = [part for p in paths for part in (_list_folder(spark, p, None) or [_qualified(spark, p)])]
+    read = spark.read.format("psm-ipc").option("paths", json.dumps(files)).load()
+    return read.withColumnsRenamed({"file": "_file", "row_number": "_local"})
 
-def _open_ipc(path: str):
-    from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return pa.ipc.open_file(system.open_input_file(inner))
+def _qualified(spark: SparkSession, name: str) -> str:
+    """A path with the scheme of the file system that Spark finds it in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scan_spectra(

@@ -6,6 +6,7 @@ from spectrafdr.workload import (  # noqa: F401
     job_queries,
     robust_queries,
     source_queries,
+    value_queries,
 )
 from spectrafdr.workload.registry import ORACLES, QUERIES
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from spectrafdr.operators import diagnostics, evaluation, fdr, filters, split
+from spectrafdr.functions.scores import at_least
+from spectrafdr.operators import diagnostics, evaluation, fdr, filters, scale, split
 from spectrafdr.operators.calibrator import feature_matrix, standardisation
 from spectrafdr.plans import jobs
 from spectrafdr.sources import saved
@@ -199,6 +202,35 @@ def static_curve_lookup(spark, d):
     )
 
 
+@query(
+    "stream_scoring",
+    f"""WITH {V.PSM_SQL}, ranked AS (
+        SELECT *, avg(1e0 - confidence) OVER (ORDER BY confidence DESC, event_id
+                                              ROWS UNBOUNDED PRECEDING) AS run
+        FROM psm WHERE experiment_name <> 'click'),
+        curve AS (SELECT confidence AS score, min(run) AS fdr FROM ranked GROUP BY 1)
+        SELECT p.spectrum_id, round(coalesce(c.fdr, 1e0), 6) AS psm_fdr,
+          round(1e0 - p.confidence, 6) AS psm_pep
+        FROM psm p ASOF LEFT JOIN curve c ON p.confidence >= c.score
+        WHERE p.confidence >= 0.25::double""",
+)
+def stream_scoring(spark, d):
+    """Events as a stream, scored by a curve fitted on stored ones, appended to a table."""
+    fitted = V.psm(spark, d).filter("experiment_name <> 'click'")
+    curve = fdr.fit_label_free(fitted, "confidence")
+    stream = V.psm_of(V.stream(spark, d, "events"))
+    kept = stream.filter(at_least(F.col("confidence"), 0.25))
+    scored = fdr.add_pep(with_static_fdr(kept, "confidence", curve), "confidence")
+    folder = f"{scale.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = scored.select("spectrum_id", rnd("psm_fdr"), rnd("psm_pep"))
+    run = (
+        out.writeStream.format("parquet").option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 @query(
     "yield_at_fdr",
     f"""{LABEL_FREE}, grid(threshold) AS (VALUES {GRID_SQL}),

@@ -21,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream of files, whether it is one file or a folder of them."""
+    schema = table(spark, folder, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if system.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 # --- scored PSMs: one row per event ------------------------------------------
 
 _PSM_COLUMNS = f"""
@@ -38,9 +49,14 @@ PSM_SQL = f"psm AS (SELECT {_PSM_COLUMNS.format(seconds='epoch_us(ts) / 1e6')} F
 
 
 def psm(spark: SparkSession, folder: str) -> DataFrame:
+    return psm_of(table(spark, folder, "events"))
+
+
+def psm_of(events: DataFrame) -> DataFrame:
+    """The view over a table or a stream of events."""
     spark_sql = _PSM_COLUMNS.format(seconds="unix_micros(cast(ts AS timestamp)) / 1e6")
     parts = [p.strip() for p in spark_sql.replace("varchar(20)", "string").strip().split(",\n")]
-    return table(spark, folder, "events").selectExpr(*parts)
+    return events.selectExpr(*parts)
 
 
 # --- the same with NaN and NULL scores; ``sound`` are the rows whose score can be ranked --------

@@ -186,6 +186,8 @@ def test_hits_equal_brute_force(spark, scaled, request, monkeypatch):
         request.getfixturevalue("tiny_limits")
         monkeypatch.setattr(scale, "ROWS_PER_BUCKET", 250_000)
     monkeypatch.setattr(proteome, "PIECE_LENGTH", 16)
+    monkeypatch.setattr(proteome, "CHUNK_LENGTH", 40)
+    monkeypatch.setattr(proteome, "SPAN", 12)
     rng = random.Random(2)
     hay = ["".join(rng.choice("ALK") for _ in range(rng.randint(1, 90))) for _ in range(12)]
     hay += [hay[0]] * 6 + ["A" * 80]
@@ -296,7 +298,7 @@ def test_train_predict_diagnose(spark, tmp_path):
         jobs.predict(rows, trained.model, features, method="other")
 
 
-def test_stream_equals_batch(spark, tmp_path, monkeypatch):
+def test_stream_equals_batch(spark, tmp_path):
     rows = training_rows(spark, 200).drop("correct", "valid_sequence")
     rows.write.parquet(str(tmp_path / "in"))
     model = C.ProbabilityCalibrator(["f"], hidden_dims=(2,))
@@ -320,12 +322,50 @@ def test_stream_equals_batch(spark, tmp_path, monkeypatch):
     want = {r["spectrum_id"]: (r["psm_fdr"], r["psm_pep"]) for r in batch.collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    # A curve above the broadcast limit is joined by parts, with equal results.
-    for name, limit in (("BROADCAST_ROWS", 1), ("POINTS_PER_PART", 3)):
-        monkeypatch.setattr(scale if name == "BROADCAST_ROWS" else scoring, name, limit)
-    low = scored.union(scored.limit(1).withColumn("calibrated_confidence", F.lit(-1.0)))
-    parts = scoring.with_static_fdr(low, "calibrated_confidence", curve)
-    got = [(r["calibrated_confidence"], r["psm_fdr"]) for r in parts.collect()]
-    by_score = {r["calibrated_confidence"]: r["psm_fdr"] for r in batch.collect()} | {-1.0: 1.0}
-    assert len(got) == low.count()
-    assert all(value == pytest.approx(by_score[score]) for score, value in got)
+
+
+@pytest.mark.parametrize("broadcast, fan_out, bucket", [(1_000_000, 32, 2_000_000), (1, 3, 7), (2, 2, 50), (5, 4, 3)])
+def test_static_curve_of_any_size_carries_little(spark, monkeypatch, broadcast, fan_out, bucket):
+    rng = random.Random(8)
+    points = sorted({round(rng.random(), 3) for _ in range(150)})
+    fdrs = [rng.choice([0.5, 0.4, 0.3]) if i % 5 else 0.3 for i in range(len(points))]
+    frame = spark.createDataFrame([(s, 1, f, f) for s, f in zip(points, fdrs)], "score double, n bigint, psm_fdr double, low_fdr double")
+    curve = fdr.curve_from_points(frame, len(points))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(scale, "ROWS_PER_BUCKET", bucket)
+    monkeypatch.setattr(scoring, "FAN_OUT", fan_out)
+    kept = [r["score"] for r in scoring.steps(curve).orderBy("rank").collect()]
+    assert kept == [s for i, s in enumerate(points) if i == 0 or fdrs[i] != fdrs[i - 1]]
+    asked = [None, float("nan"), -1.0, 0.0, 1.0, 2.0, *points, *(round(rng.random(), 4) for _ in range(100))]
+    rows = spark.createDataFrame([(x,) for x in asked], "s double").withColumn("_node", F.lit("x")).drop("_node")
+    found = scoring.with_static_fdr(rows, "s", curve).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        below = [f for s, f in zip(points, fdrs) if r.s is not None and s <= r.s]
+        missing = r.s is None or r.s != r.s
+        assert r.psm_fdr == (None if missing else below[-1] if below else 1.0)
+    # What a row carries is one node, whatever the size of the curve.
+    sizes = scoring._children(scoring.steps(curve), 1).agg(F.max(F.size("_children"))).first()[0]
+    assert sizes <= fan_out
+
+
+@pytest.mark.parametrize("bucket", [2_000_000, 40, 7, 1])
+def test_isotonic_fit_is_the_same_in_any_number_of_buckets(spark, monkeypatch, bucket):
+    rng = random.Random(bucket)
+    monkeypatch.setattr(scale, "ROWS_PER_BUCKET", bucket)
+    for shape in ("rising", "falling", "mixed"):
+        n = [rng.randint(1, 9) for _ in range(60)]
+        at = {"rising": lambda i: i / 60, "falling": lambda i: 1 - i / 60, "mixed": lambda i: rng.random()}[shape]
+        good = [sum(rng.random() < at(i) for _ in range(k)) for i, k in enumerate(n)]
+        blocks = []
+        for i, (k, g) in enumerate(zip(n, good)):
+            blocks.append([k, g, [i]])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+                last = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+        want = {i: g / k for k, g, members in blocks for i in members}
+        counts = spark.createDataFrame([(float(i), k, g) for i, (k, g) in enumerate(zip(n, good))], "score double, n bigint, good bigint")
+        found = {int(r.score): r.rate for r in diagnostics.isotonic_rates(counts).collect()}
+        assert found == pytest.approx(want)
+    empty = spark.createDataFrame([], "score double, n bigint, good bigint")
+    assert diagnostics.isotonic_rates(empty).collect() == []
