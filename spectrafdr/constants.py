@@ -144,7 +144,7 @@ TITLE_TSV_REMAPPING: dict[str, str] = {
     "[Acetyl]": "[UNIMOD:1]",
     "[Carbamyl]": "[UNIMOD:5]",
 }
-# Modifications that may only stand at the N-terminus of a title-keyed TSV row.
+# Modifications that may only stand at the N-terminus of a title-keyed TSV row.
 TITLE_TSV_NTERM_MODS: tuple[str, ...] = (
     "[+43.006-17.027]",
     "[+42.011]",

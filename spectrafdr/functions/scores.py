@@ -58,7 +58,7 @@ def posterior_error(score: Column) -> Column:
 def check_tolerance(tolerance: float, unit: str) -> str:
     """Validated, lower-case unit."""
     if isinstance(tolerance, bool) or not isinstance(tolerance, (int, float)):
-        raise ValueError(f"mz_tolerance must be a number, got {type(tolerance).__name__}")
+        raise ValueError(f"tolerance {tolerance!r} is no number")
     if not isinstance(unit, str) or unit.strip().lower() not in ("ppm", "da"):
-        raise ValueError(f"unknown unit {unit!r} for mz_tolerance: use 'ppm' or 'da'")
+        raise ValueError(f"tolerance unit {unit!r} is neither 'ppm' nor 'da'")
     return unit.strip().lower()

@@ -195,7 +195,7 @@ def load_beam_csv(
     masses: Mapping[str, float] | None = None,
 ) -> DataFrame:
     if not predictions_path:
-        raise ValueError("predictions_path is required")
+        raise ValueError("no prediction file given")
     spectra, has_labels = scan_spectra(spark, spectra_path, add_index=add_index)
     raw = scan_beam_csv(spark, predictions_path)
     predictions = shape_beam_csv(raw, spectra.columns, column_mapping, beam_prefixes)
@@ -326,7 +326,7 @@ def load_mztab(
     Best row and candidate list come from ONE grouped aggregation over the PSM rows.
     """
     if not predictions_path:
-        raise ValueError("predictions_path is required")
+        raise ValueError("no prediction file given")
     spectra, has_labels = scan_spectra(spark, spectra_path, row_order_ids=True)
     spectra = spectra.drop("index")
     raw = scan_mztab(spark, predictions_path)
@@ -416,7 +416,7 @@ def load_title_tsv(
     masses: Mapping[str, float] | None = None,
 ) -> DataFrame:
     if not predictions_path:
-        raise ValueError("predictions_path is required")
+        raise ValueError("no prediction file given")
     spectra, has_labels = scan_spectra(spark, spectra_path, require_titles=True)
     raw = scan_title_tsv(spark, predictions_path)
     runs = run_names(spark, spectra_path)

@@ -301,10 +301,10 @@ def _scan_format(
 
 def _check_titles(df: DataFrame) -> None:
     if "title" not in df.columns:
-        raise ValueError("MGF spectra require a non-empty TITLE for every ion")
+        raise ValueError("keys from TITLE: no ion block of the MGF files has one")
     missing = df.filter(F.col("title").isNull()).count()
     if missing:
-        raise ValueError(f"MGF spectra require a non-empty TITLE; missing on {missing} spectra")
+        raise ValueError(f"keys from TITLE: {missing} ion blocks have none")
     twice = [
         r[0]
         for r in duplicate_keys(
@@ -314,7 +314,7 @@ def _check_titles(df: DataFrame) -> None:
         .collect()
     ]
     if twice:
-        raise ValueError(f"TITLE values must be unique within an MGF file; duplicates: {twice}")
+        raise ValueError(f"keys from TITLE: used twice in one file: {twice}")
 
 
 def write_mgf_text(df: DataFrame, label: str | None = None) -> DataFrame:

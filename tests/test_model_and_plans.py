@@ -28,6 +28,7 @@ def golden_rows(spark):
 
 
 def test_golden_probabilities(spark, tmp_path):
+    # Fixed values.
     want = [0.641067385673523, 0.6681877970695496, 0.6942363977432251]
     model = fixed_model()
     got = [r[0] for r in model.predict(golden_rows(spark)).select("calibrated_confidence").collect()]
@@ -46,6 +47,7 @@ def test_golden_probabilities(spark, tmp_path):
 def test_golden_logits():
     x = np.array([[0.9, 1, 0.1], [0.5, 2, 0.2], [0.1, 3, 0.3]])
     z, _ = C.forward(fixed_model().weights, x)
+    # Fixed values.
     assert z.tolist() == pytest.approx([0.8799999952316284, 0.9640001058578491, 1.0480000972747803])
 
 
