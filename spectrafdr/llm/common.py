@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """The whole row as one struct ``_row`` beside ``keys``, so that no column name can clash."""
+    return df.select(*[c.alias(name) for name, c in keys.items()], F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"))
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words of a text column; 0 for null."""
     column = F.col(text) if isinstance(text, str) else text

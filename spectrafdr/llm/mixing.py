@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrafdr.llm.common import WORD, word_count
+from spectrafdr.llm.common import packed, word_count
 from spectrafdr.operators import scale
 
 SLOTS_HEX = 3  # 16 ** 3 slots per source
@@ -156,33 +156,29 @@ def _join_source(left: DataFrame, right: DataFrame, small: bool, how: str = "inn
 
 
 def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The input's rows as the mix takes them: whole repetitions, then a part.
+    """The input's rows as the mix takes them, in whole repetitions with their texts unchanged.
 
-    ``docs`` has the columns of ``documents`` with ``text`` and ``n_chars``; ``taken`` comes
-    from :func:`mix` of the same rows. Rows that share all of id, source and text become one
-    row that is repeated as often as they were together.
+    ``docs`` has the columns of ``documents``; ``taken`` comes from :func:`mix` of the same
+    rows. The one document per source that the mix takes in part is repeated once more if at
+    least half of it is taken and not otherwise, so a source misses its target by at most
+    half a document. Rows that share all of id, source and text become one row that is
+    repeated as often as they were together. Other columns stay, whatever their names.
     """
     grouped = scale.materialise(
         taken.groupBy("doc_id", "source", "content")
         .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
         .filter("_taken > 0")
+        .withColumn("_times", F.expr("_taken div _size + if(2 * (_taken % _size) >= _size, 1, 0)"))
+        .filter("_times > 0")
         .withColumnsRenamed({"doc_id": "_id", "source": "_source", "content": "_content"})
     )
-    once = docs.withColumn("_own", F.xxhash64(F.col("text")))
-    joined = once.join(
+    own = {"_doc": F.col("doc_id"), "_from": F.col("source").cast("string"), "_own": F.xxhash64("text")}
+    joined = packed(docs, **own).join(
         grouped,
-        once["doc_id"].eqNullSafe(grouped["_id"])
-        & once["source"].cast("string").eqNullSafe(grouped["_source"])
-        & (once["_own"] == grouped["_content"]),
+        F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_content")),
     )
     if not grouped.filter("_rows > 1").isEmpty():
         several = joined.filter("_rows > 1").dropDuplicates(["_id", "_source", "_content"])
         joined = joined.filter("_rows = 1").unionByName(several)
-    whole = F.expr("_taken div _size")
-    part = F.expr("_taken % _size")
-    copies = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, part.cast("int"))
-    cut = F.array_join(words, " ")
-    out = joined.withColumn("_copy", F.explode(copies))
-    text = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(cut)
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    copies = joined.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy"), "_row")
+    return copies.select("_row.*")

@@ -141,8 +141,9 @@ def fit(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str
         .limit(per_class)
         for value in (0, 1)
     ]
-    examples = docs.join(F.broadcast(chosen[0].union(chosen[1])), F.col(doc_id) == F.col("_id")).select(
-        F.lit(0).alias("one"), "_id", "_label", F.coalesce(F.col(text), F.lit("")).alias("text")
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    examples = texts.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_doc") == F.col("_id")).select(
+        F.lit(0).alias("one"), "_id", "_label", "text"
     )
 
     def run(found: pa.Table) -> pa.Table:

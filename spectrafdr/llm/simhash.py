@@ -2,7 +2,8 @@
 
 ``fingerprints``   a 64-bit SimHash per whole text
 ``links``          a spanning forest of all pairs of distinct fingerprints that differ in
-                   at most ``MAX_BITS`` bits
+                   at most ``MAX_BITS`` bits; with a larger ``max_bits`` also of those pairs
+                   up to it that share an anchor
 ``near_duplicates`` one row per document with its component
 ``keep_one``       the documents with one row left per component
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafdr.llm.common import text_slices
+from spectrafdr.llm.common import packed, text_slices
 from spectrafdr.llm.components import components
 from spectrafdr.operators import scale
 
@@ -215,7 +216,7 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[label[moved]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows come by anchor, homes first. Each home meets all rows of its anchor in the batch;
     homes of the last anchor are kept for its rows in the next batch."""
     kept_anchor, kept = None, np.zeros(0, dtype=np.int64)
@@ -241,7 +242,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = bits[begin + np.arange(size.sum())]
             one = np.repeat(ours[at], size)
             apart = np.bitwise_count((one ^ other).view(np.uint64))
-            near = (apart <= MAX_BITS) & (apart > 0)
+            near = (apart <= max_bits) & (apart > 0)
             if near.any():
                 u, v = forest(one[near], other[near])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -250,8 +251,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_anchor = anchor[-1]
 
 
-def links(prints: DataFrame, bands=None) -> DataFrame:
-    """``u, v``: a spanning forest of all links between the distinct values of ``bits``."""
+def links(prints: DataFrame, bands=None, max_bits: int = MAX_BITS) -> DataFrame:
+    """``u, v``: a spanning forest of all links between the distinct values of ``bits``.
+
+    Whole up to ``MAX_BITS``; what a larger ``max_bits`` adds are candidates.
+    """
     distinct = scale.store(prints.select("bits").distinct())
     if bands is None:
         bands = TWO_BANDS if distinct.count() > MANY else THREE_BANDS
@@ -273,7 +277,9 @@ def links(prints: DataFrame, bands=None) -> DataFrame:
         )
     keys = ["anchor"] if hot.isEmpty() else ["anchor", "salt"]
     dealt = placed.repartition(*keys).sortWithinPartitions("salt", "anchor", F.desc("home"))
-    return dealt.select("anchor", "bits", "home").mapInArrow(_compare, "u long, v long")
+    return dealt.select("anchor", "bits", "home").mapInArrow(
+        lambda batches: _compare(batches, max_bits), "u long, v long"
+    )
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,12 +313,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near=n
     rows = found.groupBy("doc_id", "content").agg(F.count("*").alias("_rows"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
     winners = scale.materialise(chosen.join(rows, same).select("_id", "_content", "_rows"))
-    keyed = docs.withColumn("_own", F.xxhash64(text))
-    kept = keyed.join(
-        winners, keyed[doc_id].eqNullSafe(winners["_id"]) & (keyed["_own"] == winners["_content"])
-    )
-    single = kept.filter("_rows = 1").select(*docs.columns)
+    keyed = packed(docs, _doc=F.col(doc_id), _own=F.xxhash64(text))
+    kept = keyed.join(winners, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_content")))
+    single = kept.filter("_rows = 1").select("_row")
     if winners.filter("_rows > 1").isEmpty():
-        return single
-    several = kept.filter("_rows > 1").select(*docs.columns)
-    return single.unionByName(several.dropDuplicates([doc_id, text]))
+        return single.select("_row.*")
+    several = kept.filter("_rows > 1").dropDuplicates(["_doc", "_own"]).select("_row")
+    return single.union(several).select("_row.*")

@@ -3,7 +3,10 @@
 import corpus_pipeline
 import fixtures as fx
 import pytest
+from pyspark.sql import functions as F
+from test_near_copies import groups as near_groups
 
+from spectrafdr.llm import mixing
 from spectrafdr.operators import scale
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,11 +34,11 @@ def test_language_rejects_texts_without_language(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
-    rows = stages[1][0].collect()
-    groups = fx.components([fx.simhash(r.text) for r in rows], [r.doc_id for r in rows])
+    rows = sorted(stages[1][0].collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    groups = near_groups([r.text for r in rows])
     kept = stages[1][1].collect()
     assert len(kept) == len(set(groups))
-    assert {r.doc_id for r in kept} == {g[0] for g in groups}
+    assert {r.doc_id for r in kept} == {rows[g].doc_id for g in groups}
     assert set(kept) <= set(rows)
 
 
@@ -54,11 +57,18 @@ def test_repeated_passages_go(stages):
     assert any(w[1] for w in want.values())
 
 
-def test_mix_takes_each_sources_target(spark, stages):
+def test_mix_takes_each_sources_target_in_whole_documents(spark, stages):
     before, after = (d.collect() for d in stages[3])
-    words = lambda rows: sum(len(fx.WORD.findall(r.text)) for r in rows)
-    total = words(before)
-    assert abs(words(after) - total) <= len({r.source for r in before})
+    size = lambda r: len(fx.WORD.findall(r.text))
+    taken = {r.source: r for r in mixing.mix(stages[3][0]).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    largest, got = {}, {}
+    for r in before:
+        largest[r.source] = max(largest.get(r.source, 0), size(r))
+    for r in after:
+        got[r.source] = got.get(r.source, 0) + size(r)
+    for source, row in taken.items():
+        assert abs(got.get(source, 0) - row.n) <= largest[source] / 2 + 1
+    assert set(after) <= set(before)
     times = {}
     for r in after:
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
@@ -80,3 +90,22 @@ def test_packed_sequences_hold_the_mix(stages):
 def test_run_applies_all_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_empty_table_passes_all_stages(spark):
+    docs = fx.documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = scale.store(stage(spark, docs, FOLDER))
+    assert docs.count() == 0
+
+
+def test_clashing_columns_pass_all_stages(spark):
+    names = ["_taken", "_rows", "_id", "_own", "_doc", "_row", "_copy", "_content", "_source", "_from", "label", "lead", "key"]
+    plain = fx.documents(spark)
+    docs = plain.withColumns({n: F.lit("own") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs = (scale.store(stage(spark, d, FOLDER)) for d in (plain, docs))
+        assert docs.columns == [*plain.columns, *names]
+        assert docs.select(*[F.col(n) for n in names]).distinct().count() <= 1
+        assert fx.rows_of(docs, *plain.columns) == fx.rows_of(plain, *plain.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
