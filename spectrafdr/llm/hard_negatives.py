@@ -361,9 +361,12 @@ def _met_regions(boxes: dict, n_references: int):
     return run
 
 
-def _hundredths(number: Column) -> Column:
-    """An integer divided by 100 and rounded down, without floats."""
-    return F.call_function("div", number - F.pmod(number, F.lit(100).cast("long")), F.lit(100))
+def _hundredths(factor: int, score: Column) -> Column:
+    """``factor * score / 100`` rounded down; no step of it is larger than score or factor."""
+    hundred = F.lit(100).cast("long")
+    rest = F.pmod(score, hundred)
+    whole = F.call_function("div", score - rest, hundred)
+    return factor * whole + F.call_function("div", factor * rest - F.pmod(factor * rest, hundred), hundred)
 
 
 def find_negatives(data: DataFrame, anchors: DataFrame, positives: DataFrame, k: int, low: int, high: int,
@@ -371,8 +374,8 @@ def find_negatives(data: DataFrame, anchors: DataFrame, positives: DataFrame, k:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``."""
     windows = positives.select(
         F.col("anchor_id").alias("vec_id"), (F.col("rank") - 1).alias("place"),
-        (-_hundredths(-low * F.col("positive_score"))).alias("lowest"),
-        _hundredths(high * F.col("positive_score")).alias("highest"),
+        (-_hundredths(low, -F.col("positive_score"))).alias("lowest"),
+        _hundredths(high, F.col("positive_score")).alias("highest"),
     )
     # At most k positives per anchor.
     lists = windows.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("place", "lowest", "highest"))).alias("w"))
