@@ -87,5 +87,5 @@ def test_registered_with_the_entry_point():
 
     names = set(entry.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(ORACLES) <= set(entry.oracle_sql())
