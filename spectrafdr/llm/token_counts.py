@@ -5,7 +5,8 @@ before white space that follows something else - and each distinct piece is enco
 per batch run. Huge texts go through overlapping chunks that are encoded with offsets:
 two neighbouring chunks are joined at a boundary both have inside their overlap, that is
 certain in the same sense, and after which they agree; where none exists the overlap is
-doubled, up to the rest of the text.
+doubled, up to the chunk's start. A run without such a boundary is encoded once, up to the
+next place that is certain, so the work stays in proportion to the text.
 
 Why such a boundary is certain: no pre-token of the vocabulary's pattern holds white space
 after another character, so a match never runs over the place where white space begins,
@@ -46,6 +47,8 @@ _PIECE = re.compile(
 )
 _BLANK_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _IS_SPACE = re.compile(f"[{_SPACE}]")
+# Where white space begins: a certain boundary, see above.
+_EDGE = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 _WHOLE_PIECE = re.compile(f"[{_SPACE}]+[^{_SPACE}]+(?=[{_SPACE}])")
 
 
@@ -122,6 +125,9 @@ class PieceCounter:
         total, start, stop = 0, 0, min(len(text), self.chunk)
         tokens = self._ends(text, start, stop)
         while stop < len(text):
+            if _EDGE.search(text, start + 1, stop) is None:
+                total, start, stop, tokens = self._run(text, total, start, stop)
+                continue
             overlap = self.overlap
             while True:
                 begin = max(start, stop - overlap)
@@ -132,17 +138,27 @@ class PieceCounter:
                     self.stats["joined"] += 1
                     break
                 self.stats["widened"] += 1
-                if begin == start:  # one unbroken run: take the chunk from its certain start
-                    end = min(len(text), stop + self.chunk)
-                    following, at = self._ends(text, start, end), start
+                if begin == start:
                     break
                 overlap *= 2
+            if at is None:
+                total, start, stop, tokens = self._run(text, total, start, stop)
+                continue
             total += sum(1 for a, _ in tokens if a < at)
             tokens = [t for t in following if t[0] >= at]
             start, stop = at, end
         return total + len(tokens)
 
 
+    def _run(self, text: str, total: int, start: int, stop: int) -> tuple[int, int, int, list[tuple[int, int]]]:
+        """Past a run without a boundary in it: from its certain start to the next certain one, once."""
+        edge = _EDGE.search(text, stop)
+        end = edge.start() if edge else len(text)
+        total += len(self._ends(text, start, end))
+        following = min(len(text), end + self.chunk)
+        return total, end, following, self._ends(text, end, following)
+
+
 def common_boundary(text: str, left: list[tuple[int, int]], right: list[tuple[int, int]],
                     begin: int, stop: int) -> int | None:
     """First place where white space begins, both sides start a token, and then agree.

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Columns that operators make themselves, as extra columns of the input.
-CLASHING = ["size", "score", "bits", "label", "grp", "key", "content", "slot", "failed", "shard", "_copy", "u", "node"]
+CLASHING = ["size", "score", "bits", "label", "grp", "key", "content", "slot", "failed", "shard", "_copy", "u", "node",
+            "_taken", "_rows", "_id", "_own", "_doc", "_row", "_content", "_label"]
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

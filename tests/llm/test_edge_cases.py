@@ -430,3 +430,32 @@ def test_cover_tree_prunes_and_stays_exact():
         assert tree._distances(rows, tree.centre[node]).max() <= tree.radius[node]
         if tree.children[node]:
             assert sorted(np.concatenate([tree.rows[c] for c in tree.children[node]])) == sorted(rows)
+
+
+@pytest.mark.parametrize("text", ["Zm9vYmFy+/" * 200_000, "ab " + "x1" * 900_000 + " cd " + "y" * 200_000, "a\u3000" * 50_000])
+def test_long_runs_without_white_space_take_time_in_proportion(text):
+    import time
+
+    from tokenizers import Tokenizer
+
+    definition = open(VOCABULARY, encoding="utf-8").read()
+    plain = Tokenizer.from_str(definition)
+    start = time.perf_counter()
+    want = len(plain.encode(text, add_special_tokens=False).ids)
+    once = time.perf_counter() - start
+    start = time.perf_counter()
+    assert token_counts.PieceCounter(definition).count(text) == want
+    assert time.perf_counter() - start < 3 * once + 3
+
+
+def test_runs_between_edges_count_like_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    definition = open(VOCABULARY, encoding="utf-8").read()
+    plain, rng = Tokenizer.from_str(definition), random.Random(3)
+    for _ in range(150):
+        text = "".join(rng.choice([" ", "  ", "\n", "é", "ab", "x9", "'s", "--"]) if rng.random() < 0.15 else "q" for _ in range(rng.randint(1, 300)))
+        counter = token_counts.PieceCounter(definition, huge=20, chunk=16, overlap=4)
+        assert counter.count(text) == len(plain.encode(text, add_special_tokens=False).ids)
