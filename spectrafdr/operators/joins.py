@@ -32,13 +32,21 @@ def _first_values(df: DataFrame, key: str) -> list:
 
 
 def check_unique(df: DataFrame, key: str, what: str) -> None:
-    bad = _first_values(duplicate_keys(df, key), key)
+    _reject_repeated(duplicate_keys(df, key), key, what)
+
+
+def _reject_repeated(repeated: DataFrame, key: str, what: str) -> None:
+    bad = _first_values(repeated, key)
     if bad:
         raise ValueError(f"{what} {key!r} values must be unique; duplicates: {bad}")
 
 
 def check_no_orphans(predictions: DataFrame, spectra: DataFrame, key: str) -> None:
-    bad = _first_values(orphan_keys(predictions, spectra, key), key)
+    _reject_orphans(orphan_keys(predictions, spectra, key), key)
+
+
+def _reject_orphans(orphans: DataFrame, key: str) -> None:
+    bad = _first_values(orphans, key)
     if bad:
         raise ValueError(f"no spectrum for {key} of these predictions: {bad}")
 
@@ -54,22 +62,27 @@ def join_spectra(
 
     Spectrum keys are unique; every prediction needs a spectrum, spectra without a
     prediction are dropped. Columns that exist on both sides come from the spectra.
-    Predictions of one key may be numerous: their counts per key (one narrow,
-    map-side combined pass) steer the salting of hot keys. ``known_unique`` names
-    sides (``spectra``, ``predictions``) whose keys are unique by construction.
+    Predictions of one key may be numerous. One narrow, map-side combined pass counts the keys
+    of both sides into a stored table, which answers all checks and steers the salting of
+    hot keys. ``known_unique`` names sides (``spectra``, ``predictions``) whose keys are
+    unique by construction.
     """
     for frame in (predictions, spectra):
         require_columns(frame, [key])
+    sides = predictions.select(key, F.lit(1).alias("_p"), F.lit(0).alias("_s")).union(
+        spectra.select(key, F.lit(0), F.lit(1))
+    )
+    counts = scale.materialise(sides.groupBy(key).agg(F.sum("_p").alias("_w"), F.sum("_s").alias("_s")))
     if "spectra" not in known_unique:
-        check_unique(spectra, key, "spectrum")
+        _reject_repeated(counts.filter("_s > 1"), key, "spectrum")
     if unique_predictions and "predictions" not in known_unique:
-        check_unique(predictions, key, "prediction")
-    check_no_orphans(predictions, spectra, key)
+        _reject_repeated(counts.filter("_w > 1"), key, "prediction")
+    _reject_orphans(counts.filter((F.col("_w") > 0) & ((F.col("_s") == 0) | F.col(key).isNull())), key)
     clash = [c for c in predictions.columns if c in spectra.columns and c != key]
     predictions = predictions.drop(*clash)
     if unique_predictions:
         return predictions.join(spectra, key, "inner")
-    return scale.shuffle_join(predictions, spectra, key, "inner")
+    return scale.shuffle_join(predictions, spectra, key, "inner", counts=counts)
 
 
 def top_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

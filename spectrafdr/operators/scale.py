@@ -248,14 +248,16 @@ def shuffle_join(
     key: str,
     how: str = "left",
     salt_on: list[str] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a wide or large table with a unique ``key``, without a forced broadcast.
 
-    Rows of ``left`` per key are counted (one narrow, map-side combined pass) and only
-    the hot keys are kept, at most ``rows / HOT_KEY_ROWS`` of them. Without any, this
-    is a plain join.
+    Rows of ``left`` per key are counted (one narrow, map-side combined pass), unless the
+    caller has such ``counts`` (``key, _w``), and only the hot keys are kept, at most
+    ``rows / HOT_KEY_ROWS`` of them. Without any, this is a plain join.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_w"))
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_w"))
     hot = materialise(counts.filter(F.col("_w") >= HOT_KEY_ROWS).select(key, _salt_count("_w")))
     if hot.isEmpty():
         return left.join(table, key, how)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafdr.functions import peptides as P
+from spectrafdr.functions import spectra as N
 from spectrafdr.operators import calibrator as C
 from spectrafdr.operators import features as E
 from spectrafdr.operators import fdr, filters, joins, scale, split
@@ -14,7 +15,7 @@ from spectrafdr.plans import jobs
 from spectrafdr.sources import loaders, saved
 from spectrafdr.sources.predictions import finalise
 from spectrafdr.workload import views as V
-from spectrafdr.workload.feature_queries import _THEORY
+from spectrafdr.workload.feature_queries import _BUNDLE, _BUNDLE_COLUMNS, _THEORY, _fragment_output, _fragment_rows
 from spectrafdr.workload.registry import query, rnd
 from spectrafdr.workload.source_queries import _folder
 
@@ -434,3 +435,25 @@ def saved_csv_types(spark, d):
         "doc_id", F.md5("note").alias("note"), F.lit(kinds["big"]).alias("big_type"), "big", F.lit(kinds["code"]).alias("code_type"),
         "code", F.lit(kinds["flag"]).alias("flag_type"), "flag", F.round("ratio", 4).alias("ratio"), F.size("mz_array").alias("n_peaks"),
     )
+
+
+@query(
+    "chimeric_runner_up",
+    f"""WITH {_BUNDLE}, full_row AS (SELECT concat('v:', vec_id) AS spectrum_id, vec_id,
+          {_BUNDLE_COLUMNS.format(p='chimeric_')}
+          FROM base JOIN total USING (vec_id) LEFT JOIN series USING (vec_id) LEFT JOIN pairs USING (vec_id)
+          LEFT JOIN gap USING (vec_id) JOIN xc USING (vec_id))
+        SELECT spectrum_id, vec_id % 8 >= 6 OR vec_id % 3 = 0 AS is_missing_chimeric_features, {", ".join(
+            f"CASE WHEN vec_id % 8 < 6 AND vec_id % 3 <> 0 THEN chimeric_{c} ELSE 0 END AS chimeric_{c}" for c in N.ION_FEATURES)}
+        FROM full_row""",
+)
+def chimeric_runner_up(spark, d):
+    """The second candidate decides: every third is too long for the model, the first always is."""
+    def beam(tokens):
+        return F.struct(tokens.alias("sequence"), F.lit(-1.0).alias("log_prob"), F.lit(None).cast("array<double>").alias("token_log_probs"))
+
+    first = F.array_repeat(F.lit("G"), 40)
+    second = F.array_repeat(F.lit("A"), F.when(F.col("vec_id") % 3 == 0, 35).otherwise(20))
+    rows = _fragment_rows(spark, d).withColumns({"prediction": first, "beams": F.array(beam(first), beam(second))})
+    out = E.FragmentMatch(V.predicted_ions(spark, d), 0.02, "da", runner_up=True)(rows)
+    return _fragment_output(out, "chimeric_", "is_missing_chimeric_features")
