@@ -22,7 +22,8 @@ from spectrafdr.workload.source_queries import _folder
 # --- PSMs with beams, token scores, missing scores and empty predictions ---------------------
 
 # One row per order: its lines as candidates, best first. Every eleventh score is missing,
-# every seventh NaN, every thirteenth prediction empty; those rows are not usable.
+# every seventh NaN, every thirteenth prediction empty; those rows are not usable. A small part
+# of the key keeps scores apart, so that no tie depends on rounding.
 ORDER_SQL = f"""{V.CANDIDATE_SQL}, own AS (
   SELECT l_orderkey, list(prob ORDER BY prob DESC, seq, l_linenumber, l_tax DESC, l_quantity) AS p,
     list(seq ORDER BY prob DESC, seq, l_linenumber, l_tax DESC, l_quantity) AS s,
@@ -31,7 +32,7 @@ ORDER_SQL = f"""{V.CANDIDATE_SQL}, own AS (
 psm AS (
   SELECT l_orderkey, p, s, t[1] AS tp, s[1] AS seq, 300e0 + l_orderkey % 500 AS precursor_mz,
     cast(1 + l_orderkey % 4 AS integer) AS precursor_charge,
-    0.05::double + 0.9::double * ((l_orderkey * 7919) % 1000) / 1e3 AS confidence,
+    0.05::double + 0.9::double * ((l_orderkey * 7919) % 1000) / 1e3 + l_orderkey * 1.0000007e-9 AS confidence,
     (l_orderkey * 31) % 100 < 60 AS correct
   FROM own WHERE l_orderkey % 11 <> 0 AND l_orderkey % 7 <> 0 AND l_orderkey % 13 <> 0),
 th AS (SELECT *, {_THEORY} AS theory FROM psm),
@@ -60,7 +61,7 @@ def order_psms(spark: SparkSession, folder: str) -> DataFrame:
     score = (
         F.when(key % 11 == 0, F.lit(None).cast("double"))
         .when(key % 7 == 0, F.lit(float("nan")))
-        .otherwise(F.expr("0.05D + 0.9D * ((l_orderkey * 7919) % 1000) / 1e3"))
+        .otherwise(F.expr("0.05D + 0.9D * ((l_orderkey * 7919) % 1000) / 1e3 + l_orderkey * 1.0000007e-9"))
     )
     rows = own.select(
         "l_orderkey",
