@@ -6,14 +6,23 @@ in at least one other node, so rounds and joins grow with the logarithm of the n
 stays a path, and the smallest node of a component always keeps itself, so when no edge is
 left every node's label is the smallest node of its component. The joins have one row per
 node on one side, so a node with a third of all edges is a skewed join that Spark splits.
+
+Links are few beside what they were found in, and a round has many small exchanges: every
+intermediate table is held in as many partitions as its rows need (``ROWS_PER_TASK``), so that
+the files of an exchange do not outgrow its rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafdr.operators.scale import materialise
+from spectrafdr.operators import scale
+
+ROWS_PER_TASK = 250_000
+LEAST_TASKS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges with a null end are ignored; loops only name their node; no edges give no rows.
     """
-    given = materialise(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL"))
+    given = scale.materialise(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL"))
+    tasks = max(LEAST_TASKS, -(-given.count() // ROWS_PER_TASK))
+
+    def materialise(df: DataFrame) -> DataFrame:
+        return scale.materialise(df.coalesce(tasks))
+
+    given = given.coalesce(tasks)
     edges = materialise(_tidy(given))
     labels = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
     labels = materialise(labels.withColumn("label", F.col("node")))
@@ -30,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = materialise(
             ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         )
-        image = _roots(lowest.withColumnsRenamed({"u": "from", "m": "to"}))
+        image = _roots(lowest.withColumnsRenamed({"u": "from", "m": "to"}), materialise)
         left = image.select(F.col("from").alias("u"), F.col("to").alias("_u"))
         right = image.select(F.col("from").alias("v"), F.col("to").alias("_v"))
         moved = edges.join(left, "u").join(right, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
@@ -43,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _roots(image: DataFrame) -> DataFrame:
+def _roots(image: DataFrame, materialise: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Follow ``from -> to`` to the end: paths halve with every join, so few joins suffice."""
     while True:
         onward = image.select(F.col("from").alias("to"), F.col("to").alias("_next"))
