@@ -254,3 +254,20 @@ def test_seed_filter_lets_every_seed_through(spark, monkeypatch):
     assert shares[True] == 1.0 and shares[False] < 0.1
     monkeypatch.setattr(proteome, "FILTER_BYTES", 1)  # too small a filter only lets more through
     assert asked.filter(proteome._may_be_in(frame)).filter("known").count() == len(seeds)
+
+
+def test_few_positions_of_a_protein_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(proteome, "CHUNK_LENGTH", 1000)
+    rng = random.Random(8)
+    hay = "".join(rng.choices("ACDEFGHKLMNPQRSTVWY", k=60_000))
+    odd = "é" * 70 + hay[:80] + "ß√" + hay[80:200]
+    proteins = spark.createDataFrame([(hay,), (odd,), (None,), ("",)], "sequence string").coalesce(1)
+    peptides = [hay[i : i + 9] for i in range(995, 50_000, 1000)] + ["éAC" + hay[2:8], hay[75:80] + "ß√", hay[50_000:50_100], hay[-6:] + "é"]
+    held, n_bits = proteome._seed_filter(spark.createDataFrame([(p[:7],) for p in peptides], "seed string"), len(peptides))
+    asked = proteome._named(proteins).mapInArrow(proteome._survivors(held, n_bits, [7]), "id long, start long, window string")
+    rows = asked.collect()
+    whole = {spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]: t for t in (hay, odd)}
+    assert all(r.window == whole[r.id][r.start - 1 : r.start + 63] for r in rows)
+    assert len(rows) < 1000  # of 60,272 places
+    found = proteome.found_peptides(spark.createDataFrame([(p,) for p in peptides], "peptide string"), proteins)
+    assert {r[0] for r in found.collect()} == {p for p in peptides if p in hay or p in odd}
