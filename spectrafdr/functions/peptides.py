@@ -6,7 +6,7 @@ scan; nothing ships a row to Python.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +21,14 @@ def usable_label(value: Column, is_array: bool) -> Column:
     return F.coalesce(present, F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_tokens(tokens: Column) -> Column:
     """Empty token lists become NULL."""
-    return F.when(F.size(tokens) > 0, tokens)
+    return bound(tokens, lambda t: F.when(F.size(t) > 0, t))
 
 
 def has_tokens(tokens: Column) -> Column:
@@ -42,8 +47,12 @@ def literal_map(entries: Mapping[str, object]) -> Column:
 
 
 def tokenise(text: Column) -> Column:
-    """Split a peptide string into residue / modification tokens."""
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    """Split a peptide string into residue / modification tokens.
+
+    Bare residues, the common case, need no match of the whole grammar at every letter.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.when(text.rlike(r"\A[A-Z]+\z"), F.split(text, "")).otherwise(tokens)
 
 
 def leucine_to_isoleucine(tokens: Column) -> Column:
@@ -189,13 +198,11 @@ def residue_matches(
         steps = F.sequence(F.lit(1), F.size(ma) + F.size(mb))
         return F.aggregate(steps, start, step, lambda s: s["hits"])
 
-    # transform over a one-element array binds the mass lists once per row.
-    bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), fold)
     both = F.coalesce((F.size(sequence) > 0) & (F.size(prediction) > 0), F.lit(False))
     return (
         F.when(~both, F.lit(0))
         .when(sequence == prediction, F.size(sequence))  # the common case needs no walk
-        .otherwise(F.get(bound, F.lit(0)))
+        .otherwise(bound(F.struct(a.alias("a"), b.alias("b")), fold))
     )
 
 

@@ -144,11 +144,11 @@ def _label(column: str) -> str:
 def beam_csv_load(spark, d):
     """Spectra table + wide CSV with beam columns -> PSM rows with nested beams."""
     folder = _folder(spark)
-    rows = V.beams(spark, d).select(
+    rows = scale.store(V.beams(spark, d).select(
         "l_orderkey",
         "beams",
         F.array_join(F.get("beams", F.lit(0))["sequence"], "").alias("top"),
-    )
+    ))  # read three times
     rows.select(
         F.concat(F.lit("o:"), F.col("l_orderkey")).alias("spectrum_id"),
         F.expr(_label("top")).alias("sequence"),

@@ -271,3 +271,29 @@ def test_few_positions_of_a_protein_become_rows(spark, monkeypatch):
     assert len(rows) < 1000  # of 60,272 places
     found = proteome.found_peptides(spark.createDataFrame([(p,) for p in peptides], "peptide string"), proteins)
     assert {r[0] for r in found.collect()} == {p for p in peptides if p in hay or p in odd}
+
+
+def test_tokens_of_plain_peptides_follow_the_grammar(spark):
+    from spectrafdr.constants import TOKEN_PATTERN
+    from spectrafdr.functions import peptides as P
+
+    texts = ["PEPTIDE", "A", "", "pEp", "M(ox)K", "AC\n", "A C", "[Acetyl]-MK", "ÄB", "K+1.5", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select(P.tokenise(F.col("t")).alias("got"), F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), F.lit(0)).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+
+
+def test_token_lists_are_computed_once(spark):
+    from spectrafdr.functions import peptides as P
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(n):
+        calls.add(1)
+        return ["A"] * n if n >= 0 else None
+
+    rows = spark.range(-1, 3).select(P.clean_tokens(tokens("id")).alias("t")).collect()
+    assert [r.t for r in rows] == [None, None, ["A"], ["A", "A"]] and calls.value == 4
+    text = P.clean_tokens(F.transform(F.array("id"), lambda v: v.cast("string")))
+    assert spark.range(1).select(text.alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("cast(") == 1
