@@ -125,7 +125,8 @@ def beams_from_columns(df: DataFrame, prefixes: Mapping[str, str]) -> Column:
         return _quoted(name) if name in names else F.lit(None).cast("string")
 
     def token_scores(text: Column) -> Column:
-        return F.from_json(F.regexp_replace(text, r"-?\binf\b|\bnan\b", "null"), "array<double>")
+        named = F.regexp_replace(text, r"-?\binf\b|\bnan\b", "null")
+        return F.from_json(F.when(text.contains("n"), named).otherwise(text), "array<double>")
 
     entries = [
         F.struct(
@@ -150,7 +151,7 @@ def beams_from_columns(df: DataFrame, prefixes: Mapping[str, str]) -> Column:
             e["token_log_probs"].alias("token_log_probs"),
         ),
     ).cast(BEAM_TYPE)
-    return F.when(F.size(shaped) > 0, shaped)
+    return P.clean_tokens(shaped)
 
 
 def shape_beam_csv(
@@ -213,11 +214,12 @@ def scan_mztab(spark: SparkSession, path: str) -> DataFrame:
     if header is None:
         raise ValueError(f"{path!r} has no PSM section")
     names = header[0].rstrip("\r").split("\t")[1:]
-    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    line = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    cells = F.transform(F.split(line, "\t"), lambda cell: F.trim(cell))
     rows = lines.filter(F.col("value").startswith("PSM\t")).select(cells.alias("c"))
 
     def cell(i: int) -> Column:
-        value = F.trim(F.get("c", F.lit(i + 1)))
+        value = F.get("c", F.lit(i + 1))
         return F.when((value != "") & (value != "null"), value)
 
     return rows.select(*[cell(i).alias(n) for i, n in enumerate(names)])
@@ -248,7 +250,7 @@ def shape_mztab(
     tokens_column = mapping.get("token_scores")
     has_tokens = tokens_column is not None and tokens_column in raw.columns
     index = F.coalesce(
-        P.spectrum_index(F.col("spectra_ref")),
+        F.col("_index"),
         F.raise_error(
             F.concat(F.lit("cannot parse spectrum index from spectra_ref "), F.col("spectra_ref"))
         ).cast("long"),
@@ -266,7 +268,7 @@ def shape_mztab(
         for c in raw.columns
         if c not in used and (c in ("index", "spectrum_id") or c not in spectrum_columns)
     ]
-    shaped = raw.select(
+    shaped = raw.withColumn("_index", P.spectrum_index(F.col("spectra_ref"))).select(
         *[_quoted(c).alias(c) for c in rest],
         index.alias("index"),
         F.concat_ws(":", experiment, index.cast("string")).alias("spectrum_id"),
@@ -323,7 +325,8 @@ def load_mztab(
 ) -> DataFrame:
     """Top-scored PSM per spectrum, with all its candidates as beams on request.
 
-    Best row and candidate list come from ONE grouped aggregation over the PSM rows.
+    Best row and candidate list come from ONE grouped aggregation over the PSM rows, stored
+    for the key checks and the join.
     """
     if not predictions_path:
         raise ValueError("no prediction file given")
@@ -357,12 +360,12 @@ def load_mztab(
     columns = [F.col("spectrum_id"), F.col("_top.*")]
     if load_beams:
         beams = F.transform("_all", lambda e: e["b"]).cast(BEAM_TYPE)
-        columns.append(F.when(F.size(beams) > 0, beams).alias("beams"))
+        columns.append(P.clean_tokens(beams).alias("beams"))
     top = grouped.select(*columns)
     if beam_engine:
         top = top.withColumn("confidence", S.probability_from_penalised(F.col("confidence")))
     merged = join_spectra(
-        top, spectra, unique_predictions=True, known_unique=("spectra", "predictions")
+        scale.store(top), spectra, unique_predictions=True, known_unique=("spectra", "predictions")
     )
     return finalise(merged, has_labels, remapping, masses)
 
