@@ -422,12 +422,15 @@ def saved_csv_types(spark, d):
     """Text with line breaks and quotes, long numbers, codes, booleans and lists through CSV in small splits."""
     path = f"{_folder(spark)}/typed.csv"
     docs = V.table(spark, d, "documents")
-    docs.select(
+    rows = docs.select(
         "doc_id", F.col("text").alias("note"), (F.col("doc_id") * 1000003 + F.lit(9007199254740993)).alias("big"),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 5, "0").alias("code"), (F.col("doc_id") % 3 == 0).alias("flag"),
         F.round(F.col("n_chars") / 7, 4).alias("ratio"), F.lit("[1. 2.5 3.]").alias("mz_array"),
         F.lit("PEPTIDE").alias("prediction"), F.lit(0.5).alias("confidence"),
-    ).repartition(3).write.csv(
+    )
+    # Several files, of one split of the input each where it has several.
+    dealt = rows if rows.rdd.getNumPartitions() >= 3 else rows.repartition(3)
+    dealt.write.csv(
         path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     out = saved.load_saved(spark, path)

@@ -297,3 +297,18 @@ def test_token_lists_are_computed_once(spark):
     assert [r.t for r in rows] == [None, None, ["A"], ["A", "A"]] and calls.value == 4
     text = P.clean_tokens(F.transform(F.array("id"), lambda v: v.cast("string")))
     assert spark.range(1).select(text.alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("cast(") == 1
+
+
+def test_csv_query_moves_no_fixed_share_of_the_documents(spark, tmp_path, monkeypatch):
+    from spectrafdr.workload import value_queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(12, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(value_queries, "_folder", lambda s: str(tmp_path / "out"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # a file a task
+    try:
+        assert value_queries.saved_csv_types(spark, str(tmp_path)).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(list((tmp_path / "out" / "typed.csv").glob("part-*"))) == 12
