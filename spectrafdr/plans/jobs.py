@@ -127,13 +127,13 @@ def predict(
 ) -> DataFrame:
     """Features -> calibrated confidence -> FDR columns -> filter at the threshold.
 
-    The scored rows are stored once: fitting the curve and annotating both read
-    them, and neither repeats the feature computation.
+    The scored rows are stored once, without the beams that only features need: fitting
+    the curve and annotating both read them, and neither repeats the feature computation.
     """
     if method not in ("label_free", "label_based"):
         raise ValueError(f"unknown FDR method {method!r}")
     scored = scale.store(
-        model.predict(compute_features(psms, features), check_empty=False)
+        model.predict(compute_features(psms, features), check_empty=False).drop("beams")
     )
     require_rows(scored, "no spectra left after feature computation")
     if method == "label_free":
@@ -141,7 +141,7 @@ def predict(
     else:
         curve = fdr.fit_label_based(scored, score, drop=drop)
     out = fdr.control_fdr(
-        scored.drop("beams"),
+        scored,
         score,
         threshold,
         curve,

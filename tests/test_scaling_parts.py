@@ -312,3 +312,12 @@ def test_csv_query_moves_no_fixed_share_of_the_documents(spark, tmp_path, monkey
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert len(list((tmp_path / "out" / "typed.csv").glob("part-*"))) == 12
+
+
+def test_prediction_job_stores_no_beams(spark, monkeypatch):
+    from spectrafdr.workload import QUERIES
+
+    stored, store = [], scale.store
+    monkeypatch.setattr(scale, "store", lambda df: stored.append(df.columns) or store(df))
+    assert QUERIES["predict_job_values"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(stored) == 2 and not any("beams" in columns for columns in stored)
