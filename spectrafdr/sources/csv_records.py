@@ -10,11 +10,16 @@ Spark splits text files at line breaks, so:
    are brought together, record by record;
 4. records are parsed as CSV by Spark's own parser.
 
-A file without a record over several lines goes straight to Spark's splittable reader.
+A file without a record over several lines, and without a carriage return in a quoted cell, goes
+straight to Spark's splittable reader.
+
+An empty cell is NULL without quotes and an empty text with them, as Spark writes the two.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +33,23 @@ def _odd(line: str) -> Column:
     return ((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2).cast("long")
 
 
+def _quoted_return(line: str) -> Column:
+    """1 for a line with a carriage return in a quoted cell, where Spark's reader would end a record."""
+    def returns(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("\r"), F.lit("")))
+
+    unquoted = F.regexp_replace(line, '"[^"]*"', "")
+    return F.when(F.contains(F.col(line), F.lit("\r")), (returns(F.col(line)) > returns(unquoted)).cast("int")).otherwise(0)
+
+
 def read_csv(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """All cells as text, columns named by the header of the (first) file.
 
-    Every file begins with the header. Empty cells are NULL; a shorter record has NULLs.
-    ``split_bytes`` overrides Spark's split size, as tests need.
+    Every file begins with the header. Empty cells without quotes are NULL; a shorter record has
+    NULLs. ``split_bytes`` overrides Spark's split size, as tests need.
     """
+    # Spark reads quoted empty cells as NULL unless NULL has another text; a new one is in no cell.
+    absent = uuid.uuid4().hex
     reader = spark.read.option("lineSep", "\n")
     if split_bytes:
         before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -43,8 +59,9 @@ def read_csv(spark: SparkSession, path: str, split_bytes: int | None = None) ->
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("at"), "value",
         )
-        if lines.select(F.max(_odd("value")).alias("odd")).first()["odd"] in (None, 0):
-            return spark.read.csv(path, header=True, quote='"', escape='"')
+        found = lines.select(F.max(_odd("value")).alias("odd"), F.max(_quoted_return("value")).alias("returns")).first()
+        if not found["odd"] and not found["returns"]:
+            return spark.read.csv(path, header=True, quote='"', escape='"', nullValue=absent)
         lines = scale.store(lines.withColumn("odd", _odd("value")))
     finally:
         if split_bytes:
@@ -55,7 +72,7 @@ def read_csv(spark: SparkSession, path: str, split_bytes: int | None = None) ->
     names = [n for n in header.first()["h"] if n is not None]
     body = records.join(first.select("file", "at"), ["file", "at"], "left_anti").filter("record <> ''")
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    parsed = body.select(F.from_csv("record", schema, _OPTIONS).alias("r"))
+    parsed = body.select(F.from_csv("record", schema, {**_OPTIONS, "nullValue": absent}).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 

@@ -19,7 +19,7 @@ TEXT_COLUMNS = (
     "sequence", "sequence_untokenised",
 )
 
-_WHOLE = r"^(0|-?[1-9][0-9]{0,17})$"
+_WHOLE = r"^(0|-?[1-9][0-9]{0,18})$"
 _NAME = r"^[-+]?(0[0-9].*|[0-9]{16,})$"
 
 # --- scans ------------------------------------------------------------------
@@ -44,23 +44,30 @@ def numeric_list(text: Column) -> Column:
     return F.when(inner != "", F.transform(parts, lambda x: x.cast("double")))
 
 
+def _filled(name: str) -> Column:
+    """A text column with NULL for empty texts."""
+    return F.nullif(F.col(f"`{name}`"), F.lit(""))
+
+
 def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
     """String columns that hold only numbers, or only true and false, as such; one pass.
 
     Whole numbers become long, so no digit is lost; other numbers double. Numbers with leading
     zeros, and whole ones too long for a long, are names and stay text, as do columns in
-    ``skip`` and columns without any value.
+    ``skip`` and columns without any value. Empty texts are no values and become NULL in a
+    column of numbers or booleans.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     if not names:
         return df
     checks = []
     for i, name in enumerate(names):
-        value = F.col(f"`{name}`")
+        value = _filled(name)
+        as_long = value.rlike(_WHOLE) & value.try_cast("bigint").isNotNull()
         as_bool = F.lower(value).isin("true", "false")
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count_if(value.isNotNull() & ~F.coalesce(value.rlike(_WHOLE), F.lit(False))).alias(f"l{i}"),
+            F.count_if(value.isNotNull() & ~as_long).alias(f"l{i}"),
             F.count_if(value.isNotNull() & (value.try_cast("double").isNull() | value.rlike(_NAME))).alias(f"d{i}"),
             F.count_if(value.isNotNull() & ~as_bool).alias(f"b{i}"),
         ]
@@ -73,7 +80,7 @@ def typed_cells(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
             kinds[name] = "bigint"
         elif found[f"n{i}"] and not found[f"d{i}"]:
             kinds[name] = "double"
-    return df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in kinds.items()})
+    return df.withColumns({n: _filled(n).cast(k) for n, k in kinds.items()})
 
 
 def load_saved(spark: SparkSession, path: str, masses=None) -> DataFrame:
@@ -91,7 +98,7 @@ def load_saved(spark: SparkSession, path: str, masses=None) -> DataFrame:
             "confidence": "double", "precursor_mz": "double", "retention_time": "double",
             "precursor_charge": "int", "scan_number": "bigint",
         }
-        raw = raw.withColumns({c: F.col(c).cast(t) for c, t in numbers.items() if c in raw.columns})
+        raw = raw.withColumns({c: _filled(c).cast(t) for c, t in numbers.items() if c in raw.columns})
         raw = typed_cells(raw, skip=TEXT_COLUMNS)
         df, has_labels = drop_empty_labels(raw)
         return finalise(df, has_labels, None, masses)

@@ -423,7 +423,7 @@ def saved_csv_types(spark, d):
     path = f"{_folder(spark)}/typed.csv"
     docs = V.table(spark, d, "documents")
     rows = docs.select(
-        "doc_id", F.col("text").alias("note"), (F.col("doc_id") * 1000003 + F.lit(9007199254740993)).alias("big"),
+        "doc_id", F.col("text").alias("title"), (F.col("doc_id") * 1000003 + F.lit(9007199254740993)).alias("big"),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 5, "0").alias("code"), (F.col("doc_id") % 3 == 0).alias("flag"),
         F.round(F.col("n_chars") / 7, 4).alias("ratio"), F.lit("[1. 2.5 3.]").alias("mz_array"),
         F.lit("PEPTIDE").alias("prediction"), F.lit(0.5).alias("confidence"),
@@ -436,7 +436,7 @@ def saved_csv_types(spark, d):
     out = saved.load_saved(spark, path)
     kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
     return out.select(
-        "doc_id", F.md5("note").alias("note"), F.lit(kinds["big"]).alias("big_type"), "big", F.lit(kinds["code"]).alias("code_type"),
+        "doc_id", F.md5("title").alias("note"), F.lit(kinds["big"]).alias("big_type"), "big", F.lit(kinds["code"]).alias("code_type"),
         "code", F.lit(kinds["flag"]).alias("flag_type"), "flag", F.round("ratio", 4).alias("ratio"), F.size("mz_array").alias("n_peaks"),
     )
 

@@ -321,3 +321,48 @@ def test_prediction_job_stores_no_beams(spark, monkeypatch):
     monkeypatch.setattr(scale, "store", lambda df: stored.append(df.columns) or store(df))
     assert QUERIES["predict_job_values"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(stored) == 2 and not any("beams" in columns for columns in stored)
+
+
+@pytest.mark.parametrize("broken", ["", "two\nlines"])
+def test_empty_csv_cells_with_and_without_quotes(spark, tmp_path, broken):
+    text = f'id,first,second\n1,"",x\n2,,""\n3,"a\rb","{broken}\r"\n4,"c\r\nd"\n' if broken else 'id,first,second\n1,"",x\n2,,""\n4,y\n'
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    found = {r.id: tuple(r)[1:] for r in csv_records.read_csv(spark, str(tmp_path / "t.csv")).collect()}
+    want = {"1": ("", "x"), "2": (None, ""), "4": ("y", None)}
+    assert found == (want | {"3": ("a\rb", "two\nlines\r"), "4": ("c\r\nd", None)} if broken else want)
+
+
+def test_quoted_carriage_returns_end_no_csv_record(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes(b'id,t\r\n1,"a\rb"\r\n2,c\r\n')
+    assert csv_records.read_csv(spark, str(tmp_path / "t.csv")).collect() == [("1", "a\rb"), ("2", "c")]
+    (tmp_path / "old.csv").write_bytes(b'id,t\r1,"x,y"\r2,c\r')  # all line ends are carriage returns
+    assert csv_records.read_csv(spark, str(tmp_path / "old.csv")).collect() == [("1", "x,y"), ("2", "c")]
+
+
+def test_long_numbers_and_empty_texts_are_typed(spark):
+    rows = [("9223372036854775807", "9223372036854775808", "", "true", ""), ("-9223372036854775808", "1", "1.5", "", "")]
+    df = saved.typed_cells(spark.createDataFrame(rows, [f"c{i}" for i in range(5)]), skip=())
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "string", "double", "boolean", "string"]
+    assert tuple(df.first()) == (2**63 - 1, "9223372036854775808", None, True, "")
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["", None, '"', "a\nb", "a\rb", "\r\n", "ends\r", " lead", "tail ", "\\", "null", "NaN", 'x\n"y",\n'],
+        ["", None, "a\rb", "plain"],  # no line break
+        ["1", "02", "3.50"],
+        ["true", "FALSE"],
+    ],
+)
+@pytest.mark.parametrize("first", [0, 1 << 40, 9_000_000_000_000])
+def test_csv_query_on_odd_documents(spark, tmp_path, texts, first):
+    import oracle
+
+    from spectrafdr.workload import ORACLES, QUERIES
+
+    rows = [(first + i, t, len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").toPandas()
+    docs.to_parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["saved_csv_types"](spark, str(tmp_path))
+    assert oracle.difference(df, oracle.connect(str(tmp_path)), ORACLES["saved_csv_types"]) is None
